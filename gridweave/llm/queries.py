@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .packing import op3_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
+    "op9_minhash_near_dedup": OP9_SQL,
 }
