@@ -132,9 +132,9 @@ class Model:
         none = np.array([not u for u, _ in units], bool)
         if none.any():
             self.floor = float((w[none] @ y[none] + prior) / (w[none].sum() + 1))
-        x = np.array([self.features(*u, self.index.nearest(u[0], k, i)) for (i, _, _), u in zip(examples, units, strict=True) if u[0]])
-        if len(x) and len(set(y[~none])) == 2:
-            self.fit = logistic(x, y[~none], w[~none])
+        x = np.array([self.features(*u, self.index.nearest(u[0], k, i)) for (i, _, _), u in zip(examples, units, strict=True)])
+        if not none.all():
+            self.fit = logistic(x, y, w)
 
     def unit(self, counts: dict[int, int]) -> tuple[dict[int, float], float]:
         v = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
