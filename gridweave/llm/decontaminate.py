@@ -119,6 +119,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
+    phrases = stored(phrases_of(items, size), f"{shared_dir(docs.sparkSession)}/phrases")
+    hit = phrase_matches(docs, phrases).select("did", "h").distinct()
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
+    return docs.withColumns({"_did": did, "_h": F.xxhash64("text")}).join(hit, (F.col("_did") == hit.did) & (F.col("_h") == hit.h), "left_anti").select(docs.columns)
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2) -> DataFrame:
     """doc_id, item_id, start, end: places where all of an item's words lie within their number plus ``slop`` words.
 

@@ -86,7 +86,7 @@ def signature(s: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, sid (name of the set, null if empty), sig (128 little-endian uint32)."""
+    """doc_id, h (hash of the text), n, sid (name of the set, null if empty), sig (128 little-endian uint32)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, x = permutations()
@@ -96,9 +96,9 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 sid.append(int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)) if len(s) else None)
                 sig.append(signature(s, a, x).astype("<u4").tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "sid": pd.array(sid, "Int64"), "sig": sig})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "h": pdf.h, "n": n, "sid": pd.array(sid, "Int64"), "sig": sig})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, n long, sid long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInPandas(sign, "doc_id long, h long, n long, sid long, sig binary")
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def rooted(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, h (hash of the text), n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
     at = shared_dir(spark)
     sigs = stored(signed(docs, width), f"{at}/signatures")
@@ -275,12 +275,21 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = stored(ids.join(least, "root").select("sid", "component_id"), f"{at}/classes")
     discard(spark, f"{at}/sets")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(named, "sid", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = sigs.select("doc_id", "h", F.col("n").alias("n_shingles"), "sid").join(named, "sid", "left").select("doc_id", "h", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each class, one of equal rows."""
+    stay = classes(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    named = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    joined = named.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")))
+    one = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("_h"))
+    return joined.withColumn("_one", one).where("_one = 1").select(docs.columns)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"), 4, 80)
+    return classes(table(spark, sf_dir, "documents"), 4, 80).drop("h")
 
 
 OP9_SQL = r"""

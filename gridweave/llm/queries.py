@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op8_quality_classifier
 from .toxicity import op4_toxicity
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op8_quality_classifier": op8_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
 

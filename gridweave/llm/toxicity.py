@@ -234,6 +234,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, score double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, terms array<string>")
 
 
+def harmless(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``most``, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Vectors({t: i for i, t in enumerate(held.value.terms)})
+        for part in texts:
+            yield pd.Series([held.value.score(of(t))[0] for t in part.tolist()], dtype=float)
+
+    return docs.where(score("text") < most)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
