@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality import op8_quality_classifier
+from .topk import OP10_SQL, op10_exact_top_k
 from .toxicity import op4_toxicity
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
@@ -17,10 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_exact_top_k": op10_exact_top_k,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
+    "op10_exact_top_k": OP10_SQL,
 }
