@@ -13,11 +13,14 @@ from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .packing import op3_best_fit_packing
 
+from .warc import OP6_SQL, op6_warc
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
+    "op6_warc": op6_warc,
     "op10_exact_top_k": op10_exact_top_k,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
@@ -26,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_exact_top_k": OP10_SQL,
+    "op6_warc": OP6_SQL,
 }
