@@ -10,6 +10,7 @@ from .quality import op8_quality_classifier
 from .topk import OP10_SQL, op10_exact_top_k
 from .toxicity import op4_toxicity
 from .neardup import OP9_SQL, op9_minhash_near_dedup
+from .chat import OP7_SQL, op7_chat_formatting
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .packing import op3_best_fit_packing
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
     "op6_warc": op6_warc,
+    "op7_chat_formatting": op7_chat_formatting,
     "op10_exact_top_k": op10_exact_top_k,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
@@ -30,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_exact_top_k": OP10_SQL,
     "op6_warc": OP6_SQL,
+    "op7_chat_formatting": OP7_SQL,
 }
