@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .quality import op8_quality_classifier
 from .topk import OP10_SQL, op10_exact_top_k
 from .toxicity import op4_toxicity
+from .katz import op1_katz_lm_scoring
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .chat import OP7_SQL, op7_chat_formatting
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
@@ -17,6 +18,7 @@ from .packing import op3_best_fit_packing
 from .warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_lm_scoring": op1_katz_lm_scoring,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
