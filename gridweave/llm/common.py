@@ -39,7 +39,7 @@ def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     spark = session(df)
     frugal(spark)
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
