@@ -15,6 +15,7 @@ from .chat import OP7_SQL, op7_chat_formatting
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .packing import op3_best_fit_packing
 
+from .urlfilter import op5_url_filter
 from .warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
+    "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
     "op7_chat_formatting": op7_chat_formatting,
     "op10_exact_top_k": op10_exact_top_k,
