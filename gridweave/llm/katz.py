@@ -26,6 +26,7 @@ gives no rows; without training rows every token is unknown.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -50,6 +51,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 START_KEY = np.uint64(xxhash.xxh3_64_intdigest(START))
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte planes apart: the zero planes compress away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def keys_of(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """One byte a count; larger ones follow with their places."""
+    large = np.flatnonzero(n >= 255)
+    return np.int64(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + large.astype(np.int64).tobytes() + n[large].astype(np.int64).tobytes()
+
+
+def counts_of(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    out, rest = np.frombuffer(b, np.uint8, n, 8).astype(np.int64), np.frombuffer(b[8 + n :], np.int64)
+    out[rest[: len(rest) // 2]] = rest[len(rest) // 2 :]
+    return out
+
+
+def pack_sums(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.T).tobytes()
+
+
+def sums_of(b: bytes) -> np.ndarray:
+    return np.frombuffer(b).reshape(2, -1).T
+
+
+@contextlib.contextmanager
+def row_by_row(spark: SparkSession):
+    """Rows here are blocks of megabytes: Python gets them one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 BATCH = "batch string, ids array<long>, held array<boolean>, lens array<long>, vocab binary, tokens binary"
 
 
@@ -113,9 +158,10 @@ class Batch:
         return n
 
     def places(self, gram: str) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket's n-grams, as places in the batch's own order."""
+        """Each bucket's n-grams by key, as places in the batch's own order."""
+        order = np.argsort(self.keys[gram], kind="stable")
         b = (self.keys[gram] >> np.uint64(33)) % np.uint64(self.buckets)
-        order = np.argsort(b, kind="stable")
+        order = order[np.argsort(b[order], kind="stable")]
         cut = np.searchsorted(b[order], np.arange(self.buckets + 1, dtype=np.uint64))
         for i in range(self.buckets):
             if cut[i] < cut[i + 1]:
@@ -139,7 +185,7 @@ def questions(store: DataFrame, buckets: int) -> DataFrame:
                 for gram in ("w", "p"):
                     n, keys = b.counts(gram), b.keys[gram]
                     for i, at in b.places(gram):
-                        yield pd.DataFrame({"gram": [gram], "bucket": [i], "batch": [b.name], "keys": [keys[at].tobytes()], "counts": [n[at].astype(np.int64).tobytes()]})
+                        yield pd.DataFrame({"gram": [gram], "bucket": [i], "batch": [b.name], "keys": [pack_keys(keys[at])], "counts": [pack_counts(n[at])]})
 
     return store.mapInPandas(ask, "gram string, bucket int, batch string, keys binary, counts binary")
 
@@ -151,17 +197,16 @@ def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket of one kind of n-gram: its part of the count table, its answers, its counts of counts."""
     gram, bucket = pdf.gram.iloc[0], int(pdf.bucket.iloc[0])
     pdf = pdf.sort_values("batch")
-    keys, first, place = np.unique(np.frombuffer(b"".join(pdf["keys"]), np.uint64), return_index=True, return_inverse=True)
-    total = np.zeros(len(keys), np.int64)
-    np.add.at(total, place, np.frombuffer(b"".join(pdf.counts), np.int64))
+    keys, first, place = np.unique(np.concatenate([keys_of(k) for k in pdf["keys"]]), return_index=True, return_inverse=True)
+    total = np.bincount(place, np.concatenate([counts_of(c) for c in pdf.counts]), len(keys)).astype(np.int64)
     answer = total[place] * 2
     answer[first] += 1
     seen = total > 0
-    rows = [("model", gram, bucket, None, keys[seen].tobytes(), total[seen].tobytes(), None, None)]
+    rows = [("model", gram, bucket, None, pack_keys(keys[seen]), pack_counts(total[seen]), None, None)]
     at = 0
     for batch, k in zip(pdf.batch, pdf["keys"], strict=True):
         n = len(k) // 8
-        rows.append(("answer", gram, bucket, batch, None, answer[at : at + n].tobytes(), None, None))
+        rows.append(("answer", gram, bucket, batch, None, pack_counts(answer[at : at + n]), None, None))
         at += n
     own = total[seen & ~((keys == START_KEY) & (gram == "w"))]
     for r in range(1, K + 2):
@@ -216,13 +261,13 @@ def sums(asked: DataFrame, estimates: Estimates, buckets: int) -> DataFrame:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 b = Batch(r, buckets)
-                number = lambda a: np.frombuffer(a["counts"], np.int64)
+                number = lambda a: counts_of(a["counts"])
                 w, p = b.answered("w", r.answers, number) >> 1, b.answered("p", r.answers, number)
                 own = (p & 1).astype(bool) & (p >> 1 > 0)
                 c, v = p[own] >> 1, b.v[own]
                 part = np.c_[np.bincount(v, estimates.discounted(c, estimates.dp), len(b.vocab)), np.bincount(v, estimates.unigram(w[b.w[own]]), len(b.vocab))]
                 for i, at in b.places("w"):
-                    yield pd.DataFrame({"gram": ["h"], "bucket": [i], "batch": [b.name], "keys": [b.vocab[at].tobytes()], "sums": [part[at].tobytes()]})
+                    yield pd.DataFrame({"gram": ["h"], "bucket": [i], "batch": [b.name], "keys": [pack_keys(b.vocab[at])], "sums": [pack_sums(part[at])]})
 
     return asked.mapInPandas(add, "gram string, bucket int, batch string, keys binary, sums binary")
 
@@ -233,15 +278,15 @@ SUMMED = "kind string, gram string, bucket int, batch string, keys binary, sums
 def add_histories(pdf: pd.DataFrame) -> pd.DataFrame:
     bucket = int(pdf.bucket.iloc[0])
     pdf = pdf.sort_values("batch")
-    keys, place = np.unique(np.frombuffer(b"".join(pdf["keys"]), np.uint64), return_inverse=True)
-    parts = np.frombuffer(b"".join(pdf.sums)).reshape(-1, 2)
+    keys, place = np.unique(np.concatenate([keys_of(k) for k in pdf["keys"]]), return_inverse=True)
+    parts = np.concatenate([sums_of(x) for x in pdf.sums])
     total = np.c_[np.bincount(place, parts[:, 0], len(keys)), np.bincount(place, parts[:, 1], len(keys))]
     seen = total[:, 0] > 0
-    rows = [("model", "h", bucket, None, keys[seen].tobytes(), total[seen].tobytes())]
+    rows = [("model", "h", bucket, None, pack_keys(keys[seen]), pack_sums(total[seen]))]
     at = 0
     for batch, k in zip(pdf.batch, pdf["keys"], strict=True):
         n = len(k) // 8
-        rows.append(("answer", "h", bucket, batch, None, total[place[at : at + n]].tobytes()))
+        rows.append(("answer", "h", bucket, batch, None, pack_sums(total[place[at : at + n]])))
         at += n
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMED.split(", ")])
 
@@ -256,9 +301,9 @@ def score(asked: DataFrame, estimates: Estimates, buckets: int) -> DataFrame:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 b = Batch(r, buckets)
-                number = lambda a: np.frombuffer(a["counts"], np.int64)
+                number = lambda a: counts_of(a["counts"])
                 w, p = b.answered("w", r.answers, number) >> 1, b.answered("p", r.answers, number) >> 1
-                h = b.answered("w", [{**a.asDict(), "gram": "w"} if hasattr(a, "asDict") else {**a, "gram": "w"} for a in r.histories], lambda a: np.frombuffer(a["sums"]).reshape(-1, 2))
+                h = b.answered("w", [{**a.asDict(), "gram": "w"} if hasattr(a, "asDict") else {**a, "gram": "w"} for a in r.histories], lambda a: sums_of(a["sums"]))
                 denominator, weight = e.backoff(w, h[:, 0], h[:, 1])
                 # order 1, then order 2 where the pair was seen, else the history's weight times order 1
                 one = e.unigram(w)
@@ -281,15 +326,18 @@ def katz_scores(docs: DataFrame, held: Callable[[int | None], bool]) -> DataFram
     tokens = store.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // BUCKET_GRAMS))
     counted = questions(store, buckets).groupBy("gram", "bucket").applyInPandas(add_up, COUNTED)
-    grams = stored(counted, f"{at}/counts", "kind")
+    with row_by_row(spark):
+        grams = stored(counted, f"{at}/counts", "kind")
     stats = {(r.gram, int(r.r)): int(r.n) for r in grams.where("kind = 'stats'").groupBy("gram", "r").agg(F.sum("n").alias("n")).collect()}
     estimates = Estimates(stats)
     answers = grams.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("gram", "bucket", "counts")).alias("answers"))
     asked = store.join(answers, "batch")
     summed = sums(asked, estimates, buckets).groupBy("gram", "bucket").applyInPandas(add_histories, SUMMED)
-    histories = stored(summed, f"{at}/histories", "kind")
+    with row_by_row(spark):
+        histories = stored(summed, f"{at}/histories", "kind")
     back = histories.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("gram", "bucket", "sums")).alias("histories"))
-    out = stored(score(asked.join(back, "batch"), estimates, buckets), f"{at}/scores")
+    with row_by_row(spark):
+        out = stored(score(asked.join(back, "batch"), estimates, buckets), f"{at}/scores")
     discard(spark, f"{at}/batches", f"{at}/counts/kind=answer", f"{at}/histories/kind=answer")
     return out
 
