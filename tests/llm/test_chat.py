@@ -24,7 +24,8 @@ def test_round_trip_and_tree(spark):
         stack = stack[: r.depth]
         assert (stack[-1].node if stack else None) == r.parent
         stack.append(r)
-        assert [(a.start, a.stop) for a in r.attend] == [(s.start, s.start + len(s.token_ids)) for s in stack]
+        assert [i for a in r.attend for i in range(a.start, a.stop)] == [i for s in stack for i in range(s.start, s.start + len(s.token_ids))]
+        assert all(a.stop < b.start for a, b in zip(r.attend, r.attend[1:], strict=False))
         assert r.position == sum(len(s.token_ids) for s in stack[:-1])
         assert (r.loss_from is not None) == (r.role == "assistant")
 
