@@ -74,33 +74,28 @@ class BlockMaxIndex:
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], float)
         blocks = max(1, -(-len(order) // BLOCK))
-        self.most = np.zeros((terms, blocks), np.float32)
-        found: dict[tuple[int, int], tuple[list, list]] = {}
+        # posting blocks are dense: a term's weights in a block's examples side by side
+        self.postings = np.zeros((terms, blocks, BLOCK))
         for at, i in enumerate(order):
             for t, w in vectors[i].items():
-                places, weights = found.setdefault((at // BLOCK, t), ([], []))
-                places.append(at % BLOCK)
-                weights.append(w)
-                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
-        self.postings = {k: (np.array(p), np.array(w)) for k, (p, w) in found.items()}
+                self.postings[t, at // BLOCK, at % BLOCK] = w
+        self.most = self.postings.max(axis=2)
 
     def nearest(self, query: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int, float]]:
         """(similarity, doc_id, label) of the k most similar examples with a common term."""
-        q = sorted(query.items())
-        bound = np.zeros(self.most.shape[1])
-        for t, w in q:
-            bound += w * self.most[t]
+        terms, weights = np.array(sorted(query), int), np.array([query[t] for t in sorted(query)])
+        bound = weights @ self.most[terms]
         best: list[tuple[float, int, float]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] * (1 + 1e-9) < -best[-1][0]:
+            least = -best[-1][0] if len(best) == k else 0.0
+            if bound[b] <= 0 or bound[b] * (1 + 1e-9) < least:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in q:
-                if p := self.postings.get((b, t)):
-                    score[p[0]] += w * p[1]
-            hit = np.flatnonzero(score > 0)
+            score = np.round(weights @ self.postings[terms, b], 12)
+            hit = np.flatnonzero((score > 0) & (score >= least))
+            if len(hit) > k + 1:  # one may be skipped
+                hit = hit[score[hit] >= np.partition(score[hit], -k - 1)[-k - 1]]
             at = b * BLOCK + hit
-            best += [(-round(s, 12), i, y) for s, i, y in zip(score[hit].tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True) if i != skip]
+            best += [(-s, i, y) for s, i, y in zip(score[hit].tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True) if i != skip]
             best = sorted(best)[:k]
         return [(-s, i, y) for s, i, y in best]
 
