@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -169,9 +170,16 @@ def labelled(docs: DataFrame, labels: DataFrame, train: str, per_class: int) ->
 
 def varied(rows: DataFrame) -> DataFrame:
     """One row of those whose texts agree in the smallest hash of three words in a row: copies, which would make their own words look telling."""
-    w = F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+")
-    low = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3))))
-    return rows.withColumn("_low", low).dropDuplicates(["y", "_low"]).drop("_low")
+
+    @F.pandas_udf("long")
+    def low(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            w = (t or "").lower().split()
+            out.append(min(zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(len(w) - 2, 1))))
+        return pd.Series(out, dtype="int64")
+
+    return rows.withColumn("_low", low("text")).dropDuplicates(["y", "_low"]).drop("_low")
 
 
 def train(docs: DataFrame, labels: DataFrame, where: str, per_class: int = PER_CLASS, k: int = K) -> Model:
