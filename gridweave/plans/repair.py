@@ -136,9 +136,9 @@ def uc_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("angle_pruning")
 def angle_pruning(spark: SparkSession, sf: str) -> DataFrame:
     """AC flow after dropping buses whose linear angle passes a limit: the widest limit that converges, per region."""
-    buses, branches = _grid(spark, sf)
-    angles = P.solve_dc(buses, branches)
-
+    # stored once: three attempts read them
+    buses, branches = map(graph.shared_table, _grid(spark, sf))
+    angles = graph.shared_table(P.solve_dc(buses, branches))
     out = None
     for rank, limit in enumerate((45.0, 30.0, 20.0)):
         keep = angles.where(F.abs("va_deg") <= limit).select(F.col("region").alias("kept_region"), F.col("id").alias("kept"))
