@@ -1,11 +1,12 @@
 """Chat formatting as prefix trees: shared initial turns are emitted once, depth first.
 
 A node is a distinct sequence of initial turns.  Its name is a hash chained over the turns, its
-parent is the sequence without the last turn, and its path (the names from the root down) sorts
-nodes depth first, so the linear order of all trees is one distributed sort.  A node's start is
+parent is the sequence without the last turn.  Nodes without forks between them form a segment;
+its path (the segments from the root down) and the depth sort nodes depth first, so the linear
+order of all trees is one distributed sort.  A node's start is
 the number of tokens before it (partition totals, then a running sum inside each partition),
 its position ids continue its parent's, and it may attend to the spans of its ancestors and
-itself: the ancestor intervals.  Assistant turns are under the loss mask.
+itself: the ancestor intervals, joined where they touch.  Assistant turns are under the loss mask.
 
 Template: ``<s>`` opens a conversation; a system turn is ``[SYS] text [/SYS]``, a user turn
 ``[INST] text [/INST]``, an assistant turn `` text </s>``, any other role ``[TURN role] text
@@ -24,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_dir, stored, table
+from .common import discard, shared_dir, stored, table
 
 #: Fixed control strings of the template; no escaped text contains one.
 OPEN, END = "<s>", "</s>"
@@ -64,26 +66,61 @@ def paths(turns: DataFrame) -> DataFrame:
     return chained.select("conv_id", F.zip_with("names", "t", lambda n, t: F.struct(n.alias("node"), t["role"].alias("role"), t["text"].alias("text"))).alias("chain"))
 
 
+def forked(chains: DataFrame) -> DataFrame:
+    """conv_id, starts, heads: depths and names of the nodes of each conversation that start a segment.
+
+    A segment is a run of nodes without forks: it starts at a root or below a node with several
+    children.  Paths name segments, not turns, so a long conversation has no long path.
+    """
+    pair = F.transform("chain", lambda x, i: F.struct(i.alias("depth"), x["node"].alias("node"), F.get("chain", i - 1)["node"].alias("parent")))
+    rows = chains.select("conv_id", F.explode(pair).alias("p")).select("conv_id", "p.*")
+    forks = rows.where("parent is not null").select("parent", "node").distinct().groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select("parent", F.lit(True).alias("fork"))
+    heads = rows.join(forks, "parent", "left").where("fork or parent is null")
+    listed = heads.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("h"))
+    return listed.select("conv_id", F.transform("h", lambda x: x["depth"]).alias("starts"), F.transform("h", lambda x: x["node"]).alias("heads"))
+
+
 def nodes_of(chains: DataFrame) -> DataFrame:
-    """Every distinct node once: path, node, parent, depth, role, text."""
-    deep = chains.select(F.posexplode("chain").alias("depth", "x"), F.transform("chain", lambda x: x["node"]).alias("names"))
-    each = deep.select(F.col("x.node").alias("node"), F.array_join(F.slice("names", 1, F.col("depth") + 1), "").alias("path"), F.get("names", F.col("depth") - 1).alias("parent"), "depth", "x.role", "x.text")
-    return each.dropDuplicates(["node", "path"])
+    """Every distinct node once: path (the segments down to its own), node, parent, depth, role, text."""
+    f = forked(chains).withColumnRenamed("conv_id", "_conv")
+    both = chains.join(f, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    deep = both.select(F.posexplode("chain").alias("depth", "x"), F.transform("chain", lambda x: x["node"]).alias("names"), "starts", "heads")
+    within = F.size(F.filter("starts", lambda d: d <= F.col("depth")))
+    each = deep.select(F.col("x.node").alias("node"), F.array_join(F.slice("heads", 1, within), "").alias("path"), F.get("names", F.col("depth") - 1).alias("parent"), "depth", "x.role", "x.text")
+    return each.dropDuplicates(["node"])
+
+
+def merged(spans: Column) -> Column:
+    """Intervals in order, joined where one ends as the next starts."""
+    kind = "array<struct<start:bigint,stop:bigint>>"
+    last = lambda a: F.get(a, F.size(a) - 1)
+    put = lambda a, x: F.when(last(a)["stop"] == x["start"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), x["stop"].alias("stop"))))).otherwise(F.concat(a, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop")))))
+    return F.aggregate(spans, F.array().cast(kind), lambda a, x: put(a, x).cast(kind))
+
+
+NODE = "path string, node string, parent string, depth int, role string, head string, body string, tail string"
 
 
 def tokenised(nodes: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """Nodes in sorted order with their tokens, and the tokens before them in their partition."""
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .packing import encoder
 
-        ids = encoder(rank_file, pattern)
+        ids, part, before = encoder(rank_file, pattern), TaskContext.get().partitionId(), 0
         for pdf in batches:
-            pdf["head_ids"] = [np.frombuffer(ids.ids(x), "<u4").astype(np.int32) for x in pdf["head"]]
-            pdf["body_ids"] = [np.frombuffer(ids.ids(x), "<u4").astype(np.int32) for x in pdf["body"]]
-            pdf["tail_ids"] = [np.frombuffer(ids.ids(x), "<u4").astype(np.int32) for x in pdf["tail"]]
+            parts = [[np.frombuffer(ids.ids(x), "<u4").astype(np.int32) for x in pdf[c]] for c in ("head", "body", "tail")]
+            pdf["ids"] = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            spoken = (pdf.role == "assistant").tolist()
+            pdf["loss_from"] = pd.array([len(h) if y else None for h, y in zip(parts[0], spoken, strict=True)], "Int32")
+            pdf["loss_to"] = pd.array([len(h) + len(x) if y else None for h, x, y in zip(parts[0], parts[1], spoken, strict=True)], "Int32")
+            n = np.array([len(x) for x in pdf.ids], np.int64)
+            pdf["part"], pdf["n"], pdf["local"] = part, n, before + np.cumsum(n) - n
+            before += int(n.sum())
             yield pdf
 
-    kinds = "path string, node string, parent string, depth int, role string, head string, body string, tail string"
-    return nodes.select([k.split()[0] for k in kinds.split(", ")]).mapInPandas(encode, kinds + ", head_ids array<int>, body_ids array<int>, tail_ids array<int>")
+    names = [k.split()[0] for k in NODE.split(", ")]
+    return nodes.select(names).mapInPandas(encode, NODE + ", ids array<int>, loss_from int, loss_to int, part int, n long, local long")
 
 
 def format_chats(turns: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -103,25 +140,27 @@ def format_chats(turns: DataFrame, rank_file: str | None = None, pattern: str |
     chains = stored(paths(turns), f"{at}/chains")
     first = F.when(F.col("depth") == 0, F.concat(F.lit(OPEN), F.col("p.head"))).otherwise(F.col("p.head"))
     nodes = nodes_of(chains).withColumn("p", rendered(F.col("role"), F.col("text"))).withColumns({"head": first, "body": F.col("p.body"), "tail": F.col("p.tail")})
-    ranged = tokenised(nodes, rank_file, pattern).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path")
-    counted = ranged.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id(), "n": F.size("head_ids") + F.size("body_ids") + F.size("tail_ids")})
-    held = stored(counted, f"{at}/nodes")
+    ranged = nodes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "depth").sortWithinPartitions("path", "depth")
+    held = stored(tokenised(ranged, rank_file, pattern), f"{at}/nodes")
     # one row for each partition
     totals = held.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    running = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    started = stored(held.join(F.broadcast(before), "part").withColumn("start", running + F.col("before")), f"{at}/started")
-    # ancestors: every node looks up the spans along its own path
-    wanted = started.select("node", "path", F.posexplode(F.sequence(F.lit(1), F.col("depth") + 1)).alias("k", "d")).select("node", "path", "k", F.substring("path", F.lit(1), F.col("d") * 32).alias("up"))
-    spans = started.select(F.col("path").alias("up"), "start", (F.col("start") + F.col("n")).alias("stop"))
-    attend = wanted.join(spans, "up").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", "start", "stop"))).alias("a"))
-    attend = attend.select("path", F.transform("a", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("attend"), F.aggregate(F.slice("a", 1, F.size("a") - 1), F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]).alias("position"))
-    spoken = F.col("role") == "assistant"
-    tree = started.join(attend, "path").select(
-        "node", "parent", "depth", "role", "head", "body", "tail", F.concat("head_ids", "body_ids", "tail_ids").alias("token_ids"), F.when(spoken, F.size("head_ids")).alias("loss_from"), F.when(spoken, F.size("head_ids") + F.size("body_ids")).alias("loss_to"), "start", "position", "attend"
-    )
+    started = held.join(F.broadcast(before), "part").withColumn("start", F.col("local") + F.col("before"))
+    # segments look up the spans of the segments along their path
+    spans = stored(started.groupBy("path").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("n")).alias("stop")), f"{at}/spans")
+    up = F.col("path").substr(F.col("k") * 32 + 1, F.lit(32))
+    wanted = spans.where("length(path) > 32").select("path", F.explode(F.sequence(F.lit(0), (F.length("path") / 32 - 2).cast("int"))).alias("k")).select("path", "k", up.alias("up"))
+    ends = spans.select(F.substring("path", -32, 32).alias("up"), F.col("first").alias("start"), "stop")
+    above = wanted.join(ends, "up").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", "start", "stop"))).alias("a"))
+    above = above.select("path", F.transform("a", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("a"))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    segments = spans.join(above, "path", "left").select("path", "first", merged(F.coalesce("a", none)).alias("above"), F.aggregate(F.coalesce("a", none), F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]).alias("base"))
+    own = F.array(F.struct(F.col("first").alias("start"), (F.col("start") + F.col("n")).alias("stop")))
+    tree = started.join(segments, "path").select("node", "parent", "depth", "role", "head", "body", "tail", F.col("ids").alias("token_ids"), "loss_from", "loss_to", "start", (F.col("base") + F.col("start") - F.col("first")).alias("position"), merged(F.concat("above", own)).alias("attend"))
+    tree = stored(tree, f"{at}/tree")
+    discard(spark, f"{at}/nodes", f"{at}/spans")
     members = chains.select("conv_id", F.posexplode(F.transform("chain", lambda x: x["node"])).alias("depth", "node"))
-    return stored(tree, f"{at}/tree"), members
+    return tree, members
 
 
 def read_back(tree: DataFrame, members: DataFrame) -> DataFrame:
