@@ -14,7 +14,7 @@
    ends are connected already need no confirmation.
 4. Regions taken deeper may hold links that no neighbour pair shows.  Wherever such a region
    still holds more than one class, its members outside the largest class are confirmed against
-   all members of other classes.
+   all members of that class and against each other, in blocks of sets.
 
 Recall: a pair of similarity s meets in one of T trees with probability 1 - (1 - s^lead)^T, over
 0.999 at s = 0.8 with the defaults and over 0.999999 at 0.85.
@@ -41,6 +41,8 @@ from .common import discard, shared_dir, stored, table
 from .components import components
 
 HASHES, TREES, LEAD, DEEP, REGION, NEAR, SEED = 128, 32, 6, 4, 16, 2, 20240229
+#: Sets that travel together when large regions are checked again.
+BLOCK = 256
 #: Tokens hashed at a time.
 BATCH_TOKENS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -212,6 +214,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
+def rechecked(odd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between roots: the odd members (main, a, root) of each main class against all its members and each other.
+
+    Both sides travel in blocks of about ``BLOCK`` sets; a task intersects one block of odd members
+    with one block of the class through the block's own inverted lists and returns roots only.
+    """
+    mains = odd.select(F.col("main").alias("root")).distinct()
+    own = labels.join(mains, "root", "left_semi").select("root", "node").union(mains.select("root", F.col("root").alias("node")))
+    against = own.select(F.col("root").alias("main"), F.col("node").alias("a"), "root").union(odd.select("main", "a", "root"))
+    sizes = against.groupBy("main").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("main", "blocks")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths = np.array([len(x) // 8 for x in pdf.s], np.int64)
+        return pd.DataFrame({"main": [pdf.main.iloc[0]], "block": [pdf.block.iloc[0]], "roots": [pdf.root.to_numpy(np.int64).tobytes()], "lengths": [lengths.tobytes()], "s": [b"".join(pdf.s)]})
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        held = rows.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        held = held.join(sets.select(F.col("sid").alias("a"), "s"), "a").select("main", "block", "root", "s")
+        return held.groupBy("main", "block").applyInPandas(pack, "main long, block int, roots binary, lengths binary, s binary")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            links = set()
+            for r in pdf.itertuples(index=False):
+                roots, lengths = np.frombuffer(r.roots, np.int64), np.frombuffer(r.lengths, np.int64)
+                flat = np.frombuffer(r.s, np.uint64)
+                order = np.argsort(flat, kind="stable")
+                flat, member = flat[order], np.repeat(np.arange(len(lengths)), lengths)[order]
+                ends, at = np.cumsum(np.frombuffer(r.q_lengths, np.int64)), 0
+                asked = np.frombuffer(r.q_s, np.uint64)
+                for root, end in zip(np.frombuffer(r.q_roots, np.int64).tolist(), ends.tolist(), strict=True):
+                    q, at = asked[at:end], end
+                    first, last = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
+                    n = last - first
+                    hit = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    both = np.bincount(member[hit], minlength=len(lengths))
+                    good = (100 * both >= percent * (lengths + len(q) - both)) & (roots != root)
+                    links.update((min(root, x), max(root, x)) for x in set(roots[good].tolist()))
+            yield pd.DataFrame(sorted(links), columns=["a", "b"], dtype=np.int64)
+
+    asked = blocked(odd).select("main", F.col("roots").alias("q_roots"), F.col("lengths").alias("q_lengths"), F.col("s").alias("q_s"))
+    everywhere = asked.join(sizes, "main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return blocked(against).join(everywhere, ["main", "block"]).mapInPandas(meet, "a long, b long").distinct()
+
+
 def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after adding links between nodes whose present roots ``links`` names as a, b."""
     new = components(links)
@@ -259,12 +306,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         known = labels.withColumnRenamed("node", "a")
         members = stored(large.join(known, "a", "left").select("key", "a", F.coalesce("root", "a").alias("root")), f"{at}/members")
         tally = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
-        apart = members.join(tally.select("key", F.col("m.root").alias("main")), "key")
-        odd = apart.where("root <> main").select("key", F.col("a").alias("b"), F.col("root").alias("other"))
-        cross = apart.join(odd, "key").where("root <> other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        cross = stored(cross, f"{at}/cross")
-        if cross.head(1):
-            links = rooted(confirmed(cross, sets, percent), labels).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        mains = tally.select("key", F.col("m.root").alias("main"))
+        odd = stored(members.join(mains, "key").where("root <> main").select("main", "a", "root").distinct(), f"{at}/odd")
+        if odd.head(1):
+            links = rechecked(odd, labels, sets, percent)
             labels = stored(relabel(labels, links), f"{at}/labels-last")
     ids = reps.select("sid", "doc_id")
     if labels is not None:

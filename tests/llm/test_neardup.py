@@ -66,3 +66,26 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_rechecked_finds_every_link_across_classes(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rng = random.Random(12)
+    base = rng.sample(range(1, 10**6), 60)
+    sets = {}
+    for i in range(60):
+        s = set(base)
+        for _ in range(rng.randint(0, 14)):
+            s.discard(rng.choice(base))
+            s.add(rng.randrange(10**6, 10**7))
+        sets[i] = s
+    main = {i: 0 for i in range(40)}
+    odd = [(0, i, i) for i in range(40, 60)]
+    table = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "sid long, s binary")
+    labels = spark.createDataFrame([(i, 0) for i in main if i], "node long, root long")
+    got = {(r.a, r.b) for r in neardup.rechecked(spark.createDataFrame(odd, "main long, a long, root long"), labels, table, 80).collect()}
+    close = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = {(0, i) for _, i, _ in odd if any(close(i, j) for j in main)} | {(i, j) for _, i, _ in odd for _, j, _ in odd if i < j and close(i, j)}
+    assert got == want and want
