@@ -119,12 +119,12 @@ def window_stitch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("uc_schedule")
 def uc_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """A schedule of every unit of every region; demand follows the region's whole capacity."""
     g = view(spark, sf, "gen")
-    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("mw"), "gen_id"))
-    units = g.withColumn("unit", F.col("gen_id")).select("region", "unit", "mw", (F.col("mw") * 0.1).alias("p_min"), "cost", F.lit(5.0).alias("fixed"), F.lit(50.0).alias("startup"), F.lit(10.0).alias("shutdown"), F.col("up").alias("min_up"), F.lit(2).alias("min_down"), (F.col("gen_id") % 40).alias("off_from"), (F.col("gen_id") % 40 + 2).alias("off_to"), rank.alias("k")).where("k <= 40")
+    units = g.withColumn("unit", F.col("gen_id")).select("region", "unit", "mw", (F.col("mw") * 0.1).alias("p_min"), "cost", F.lit(5.0).alias("fixed"), F.lit(50.0).alias("startup"), F.lit(10.0).alias("shutdown"), F.col("up").alias("min_up"), F.lit(2).alias("min_down"), (F.col("gen_id") % 40).alias("off_from"), (F.col("gen_id") % 40 + 2).alias("off_to"))
     total = units.groupBy("region").agg(F.sum("mw").alias("s"))
     d = total.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")))).select("region", "t", (F.col("s") * (0.35 + 0.01 * F.col("t"))).alias("demand"))
-    return C.solve(units.drop("k"), d)
+    return C.solve(units, d)
 
 
 def _grid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
