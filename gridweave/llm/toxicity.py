@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with evidence.
 
-Terms are words and character 4- and 5-grams of ``^word$``.  The space is spanned by the terms
-that the training labels show to matter (chi-square over documents); everything else about them
-is plain TF-IDF.  The labelled examples are a bounded sample (``per_class`` of each label, by
-hash of doc_id), so their index is small enough to travel with the tasks, and every document is
-scored where it is read: no shuffle of texts.
-
-The index holds postings in blocks of examples with each term's largest weight in each block.  A
-search visits blocks in falling order of their upper bound and stops once no remaining block can
-hold a better example, so the k nearest are exact (ties to the smaller doc_id).  Their votes,
-weighted by similarity, are calibrated by a logistic fit to leave-one-out votes of the examples.
-
-Defined cases: null and empty texts, and texts without any chosen term, get the rate of toxic
-labels among such texts; labels that are null or whose document is missing are ignored; several
+Terms are words and character 4- and 5-grams of ``^word$``.  Every term in at least ``MIN_DOCS``
+of the examples spans the space, however many there are.  A term weighs its TF-IDF times
+``phi ** POWER``, where phi is its correlation with the label over the examples (the root of
+chi-square over their number): topics that all texts share then hide no rare telling word.  The
+labelled examples are a bounded sample (``per_class`` of each label, by hash of doc_id), so their
+index is small enough to travel with the tasks, and every document is scored where it is read: no
+shuffle of texts.
+
+The index holds sparse postings in blocks of examples with each term's largest weight in each
+block, for the terms that hold ``HEAVY`` of the examples' squared weight; the light rest of an
+example is a vector whose length bounds what it can add.  A search visits blocks in falling order
+of their upper bound, completes the scores of examples that can still be among the best, and stops
+once no remaining block can hold a better one, so the k nearest are exact (ties to the smaller
+doc_id).  Their votes, weighted by similarity, are calibrated by a logistic fit to leave-one-out
+votes of the examples.
+
+Defined cases: null and empty texts, and texts without any term of the space, get the rate of toxic
+labels among such examples or, if there are none, the calibrated score of no votes; labels that are null or whose document is missing are ignored; several
 labels of one document count as toxic if any is; without usable labels the score is 0.25;
 repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
 """
@@ -23,7 +28,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_mod, shared_dir, stored, table
 
-PER_CLASS, MIN_DOCS, MIN_CHI2, MAX_TERMS, K, BLOCK = 4096, 6, 40.0, 384, 15, 256
-CACHE_ENTRIES = 500_000
+PER_CLASS, MIN_DOCS, POWER, K, BLOCK, HEAVY = 4096, 6, 1.5, 15, 1024, 0.99
+CACHE_ENTRIES = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,57 +52,115 @@ def terms_of(token: str) -> set[str]:
     return out
 
 
+Pair = tuple[np.ndarray, np.ndarray]
+
+
 class Vectors:
-    """Text -> {number of a chosen term: count}, with a bounded cache from tokens to terms."""
+    """Text -> numbers of its terms, ascending, and their counts, with a bounded cache from tokens to terms."""
 
     def __init__(self, number: dict[str, int]):
         self.number, self.cache = number, {}
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        cache = self.cache
+    def __call__(self, text: str | None) -> Pair:
+        cache, parts, times = self.cache, [], []
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         for token, c in Counter((text or "").lower().split()).items():
             got = cache.get(token)
             if got is None:
-                got = cache[token] = tuple(self.number[t] for t in terms_of(token) if t in self.number)
-            for t in got:
-                out[t] = out.get(t, 0) + c
-        return out
+                got = cache[token] = np.array([self.number[t] for t in terms_of(token) if t in self.number], np.int32)
+            if len(got):
+                parts.append(got)
+                times.append(c)
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        count = np.bincount(np.concatenate(parts), np.repeat(np.array(times, float), [len(x) for x in parts]))
+        terms = np.flatnonzero(count)
+        return terms, count[terms]
+
+
+def pair_of(vector: dict[int, float] | Pair) -> Pair:
+    if isinstance(vector, dict):
+        terms = np.array(sorted(vector), np.int64)
+        return terms, np.array([vector[t] for t in terms.tolist()], float)
+    return vector
+
+
+def runs_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers first[0]..last[0]-1, first[1]..last[1]-1 and so on."""
+    n = last - first
+    return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
 class BlockMaxIndex:
     """Unit vectors of labelled examples; ``nearest`` is exact."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float]], terms: int):
-        heaviest = [max(v, key=v.get, default=-1) for v in vectors]
+    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float] | Pair], terms: int):
+        pairs = [pair_of(v) for v in vectors]
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in pairs]
         order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], float)
-        blocks = max(1, -(-len(order) // BLOCK))
-        # posting blocks are dense: a term's weights in a block's examples side by side
-        self.postings = np.zeros((terms, blocks, BLOCK))
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                self.postings[t, at // BLOCK, at % BLOCK] = w
-        self.most = self.postings.max(axis=2)
-
-    def nearest(self, query: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int, float]]:
+        mass = np.zeros(terms)
+        for t, w in pairs:
+            mass[t] += w**2
+        falling = np.argsort(-mass, kind="stable")
+        heavy = falling[: int(np.searchsorted(np.cumsum(mass[falling]), HEAVY * mass.sum())) + 1]
+        self.place = np.full(terms, -1, np.int32)
+        self.place[np.sort(heavy)] = np.arange(len(heavy))
+        blocks = max(1, -(-len(ids) // BLOCK))
+        self.most, self.blocks, light, self.rest = np.zeros((len(heavy), blocks)), [], [], np.zeros(len(ids))
+        for b in range(blocks):  # one at a time, as the copies of all would not fit the driver
+            mine = [pairs[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
+            term = np.concatenate([t for t, _ in mine] + [np.zeros(0, np.int32)]).astype(np.int32)
+            weight = np.concatenate([w for _, w in mine] + [np.zeros(0)])
+            row = np.repeat(np.arange(len(mine), dtype=np.int16), [len(t) for t, _ in mine])
+            at = self.place[term]
+            low = at < 0
+            ends = np.r_[0, np.cumsum(np.bincount(row[low], minlength=len(mine)))]
+            light.append((ends, term[low], weight[low]))
+            self.rest[b * BLOCK : b * BLOCK + len(mine)] = np.sqrt(np.bincount(row[low], weight[low] ** 2, len(mine)))
+            at, row, weight = at[~low], row[~low], weight[~low]
+            np.maximum.at(self.most[:, b], at, weight)
+            turn = np.argsort(at, kind="stable")
+            self.blocks.append((np.r_[0, np.cumsum(np.bincount(at, minlength=len(heavy)))].astype(np.int32), row[turn], weight[turn]))
+        self.light = light
+        self.most_rest = np.array([self.rest[b * BLOCK : (b + 1) * BLOCK].max(initial=0) for b in range(blocks)])
+        self.wide = terms
+
+    def nearest(self, query: dict[int, float] | Pair, k: int, skip: int | None = None) -> list[tuple[float, int, float]]:
         """(similarity, doc_id, label) of the k most similar examples with a common term."""
-        terms, weights = np.array(sorted(query), int), np.array([query[t] for t in sorted(query)])
-        bound = weights @ self.most[terms]
+        terms, weights = pair_of(query)
+        heavy = self.place[terms] >= 0
+        at, w = self.place[terms[heavy]], weights[heavy]
+        whole = np.zeros(self.wide)
+        whole[terms[~heavy]] = weights[~heavy]
+        rest = math.sqrt(float((weights[~heavy] ** 2).sum()))
+        bound = w @ self.most[at] + rest * self.most_rest
         best: list[tuple[float, int, float]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
             least = -best[-1][0] if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] * (1 + 1e-9) < least:
+            if bound[b] <= 0 or bound[b] * (1 + 1e-9) + 1e-11 < least:
                 break
-            score = np.round(weights @ self.postings[terms, b], 12)
-            hit = np.flatnonzero((score > 0) & (score >= least))
-            if len(hit) > k + 1:  # one may be skipped
-                hit = hit[score[hit] >= np.partition(score[hit], -k - 1)[-k - 1]]
-            at = b * BLOCK + hit
-            best += [(-s, i, y) for s, i, y in zip(score[hit].tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True) if i != skip]
+            starts, rows, posted = self.blocks[b]
+            ids = self.ids[b * BLOCK : (b + 1) * BLOCK]
+            run = runs_of(starts[at], starts[at + 1])
+            score = np.bincount(rows[run], np.repeat(w, starts[at + 1] - starts[at]) * posted[run], len(ids)).astype(float)  # counts if empty
+            most = score + rest * self.rest[b * BLOCK : b * BLOCK + len(ids)]
+            if len(ids) > k + 1:  # one may be skipped; what an example has already cannot fall
+                least = max(least, float(np.partition(score, -k - 1)[-k - 1]))
+            hit = np.flatnonzero((most > 0) & (most * (1 + 1e-9) + 1e-11 >= least))
+            if rest and len(hit):
+                ends, light, held = self.light[b]
+                first, last = ends[hit], ends[hit + 1]
+                run = runs_of(first, last)
+                score[hit] += np.bincount(np.repeat(np.arange(len(hit)), last - first), whole[light[run]] * held[run], len(hit))
+            score = np.round(score[hit], 12)
+            hit, score = hit[score > 0], score[score > 0]
+            if len(hit) > k + 1:
+                near = score >= np.partition(score, -k - 1)[-k - 1]
+                hit, score = hit[near], score[near]
+            best += [(-s, i, y) for s, i, y in zip(score.tolist(), ids[hit].tolist(), self.labels[b * BLOCK + hit].tolist(), strict=True) if i != skip]
             best = sorted(best)[:k]
         return [(-s, i, y) for s, i, y in best]
 
@@ -115,43 +179,51 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 class Model:
-    """Everything a task needs to score a text; its size is bounded by the parameters."""
+    """Everything a task needs to score a text; its size is bounded by the sample of examples."""
 
-    def __init__(self, terms: list[tuple[str, float]], examples: list[tuple[int, int, dict[int, int]]], weight: tuple[float, float], prior: float, k: int):
+    def __init__(self, terms: list[tuple[str, float]], examples: Iterable[tuple[int, int, Pair]], prior: float, k: int):
         self.terms = [t for t, _ in terms]
-        self.idf = np.array([i for _, i in terms])
+        self.weigh = np.array([w for _, w in terms])
         self.k, self.prior, self.floor, self.fit = k, prior, prior, None
-        units = [self.unit(v) for _, _, v in examples]
-        self.index = BlockMaxIndex([i for (i, _, _), (u, _) in zip(examples, units, strict=True) if u], [y for (_, y, _), (u, _) in zip(examples, units, strict=True) if u], [u for u, _ in units if u], len(terms))
-        w = np.array([weight[y] for _, y, _ in examples])
-        y = np.array([y for _, y, _ in examples], float)
-        none = np.array([not u for u, _ in units], bool)
+        units = [(i, y, self.unit(v)[0]) for i, y, v in examples]
+        units = [x for x in units if len(x[2][0])]
+        self.index = BlockMaxIndex([i for i, _, _ in units], [y for _, y, _ in units], [u for _, _, u in units], len(terms))
+
+    def calibrate(self, y: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
+        """``x`` holds the examples' features without their own vote; not numbers where an example has no term."""
+        none = np.isnan(x).any(axis=1)
         if none.any():
-            self.floor = float((w[none] @ y[none] + prior) / (w[none].sum() + 1))
-        x = np.array([self.features(*u, self.index.nearest(u[0], k, i)) for (i, _, _), u in zip(examples, units, strict=True)])
+            self.floor = float((w[none] @ y[none] + self.prior) / (w[none].sum() + 1))
         if not none.all():
-            self.fit = logistic(x, y, w)
-
-    def unit(self, counts: dict[int, int]) -> tuple[dict[int, float], float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: float(x / norm) for t, x in v.items()}, norm
-
-    def features(self, unit: dict[int, float], norm: float, near: list[tuple[float, int, float]]) -> list[float]:
+            self.fit = logistic(x[~none], y[~none], w[~none])
+            if not none.any():
+                self.floor = self.calibrated(self.features(0.0, []))
+
+    def calibrated(self, x: list[float]) -> float:
+        z = float(np.dot(self.fit[:-1], x) + self.fit[-1])
+        return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+    def unit(self, counts: Pair) -> tuple[Pair, float]:
+        terms, n = counts
+        v = (1 + np.log(n)) * self.weigh[terms]
+        terms, v = terms[v > 0], v[v > 0]
+        norm = math.sqrt(float((v**2).sum()))
+        return (terms, v / norm if norm else v), norm
+
+    def features(self, norm: float, near: list[tuple[float, int, float]]) -> list[float]:
         mass = sum(s for s, _, _ in near)
         vote = (sum(s * y for s, _, y in near) + 0.5 * self.prior) / (mass + 0.5)
         vote = min(max(vote, 1e-3), 1 - 1e-3)
         return [math.log(vote / (1 - vote)), math.log1p(norm)]
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int, float]]]:
-        if not counts:
+    def score(self, counts: Pair) -> tuple[float, list[tuple[float, int, float]]]:
+        unit, norm = self.unit(counts)
+        if not len(unit[0]):
             return self.floor, []
-        u = self.unit(counts)
-        near = self.index.nearest(u[0], self.k)
+        near = self.index.nearest(unit, self.k)
         if self.fit is None:
             return self.prior, near
-        z = float(np.dot(self.fit[:-1], self.features(*u, near)) + self.fit[-1])
-        return 1 / (1 + math.exp(-min(max(z, -30), 30))), near
+        return self.calibrated(self.features(norm, near)), near
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -201,23 +273,43 @@ def train(docs: DataFrame, labels: DataFrame, where: str, per_class: int = PER_C
     total = have.get(0, 0) + have.get(1, 0)
     prior = (have.get(1, 0) + 0.5) / (total + 2)
     if not n0 or not n1:
-        return Model([], [], (1.0, 1.0), prior if total else 0.25, k)
+        return Model([], [], prior if total else 0.25, k)
     c = sample.select("text", "y").mapInPandas(tally, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("b"))
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n0 + n1)
     chi2 = n * F.pow(a * (n1 - b) - b * (n0 - a), 2) / ((a + b) * (n - a - b) * n0 * n1)
-    kept = c.where(a + b >= MIN_DOCS).where(a + b < n).select("term", (a + b).alias("df"), chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
-    terms = [(r.term, math.log((1 + n) / (1 + r.df)) + 1) for r in kept]
-    number = {t: i for i, (t, _) in enumerate(terms)}
+    rows = c.where(a + b >= MIN_DOCS).select("term", (a + b).alias("df"), chi2.alias("chi2")).toPandas().sort_values("term")
+    phi = np.sqrt(np.nan_to_num(rows.chi2.to_numpy(float)) / n)  # a term of every example tells nothing
+    terms = list(zip(rows.term, (np.log((1 + n) / (1 + rows.df.to_numpy(float))) + 1) * phi**POWER, strict=True))
+    number = spark.sparkContext.broadcast({t: i for i, (t, _) in enumerate(terms)})
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Vectors(number)
+        of = Vectors(number.value)
         for pdf in batches:
             v = [of(t) for t in pdf.text.tolist()]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "t": [list(x) for x in v], "c": [list(x.values()) for x in v]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "t": [t.astype(np.int32).tobytes() for t, _ in v], "c": [c.astype(np.int32).tobytes() for _, c in v]})
+
+    # bounded by per_class; stored once: the index and the calibration read it
+    held = stored(sample.select("doc_id", "y", "text").mapInPandas(vectors, "doc_id long, y int, t binary, c binary"), f"{shared_dir(spark)}/vectors")
+    pair = lambda t, c: (np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
+    # one partition at a time in the driver; the index orders them itself
+    model = Model(terms, ((int(r.doc_id), int(r.y), pair(r.t, r.c)) for r in held.toLocalIterator()), prior, k)
+    sent = spark.sparkContext.broadcast(model)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        for pdf in batches:
+            out = []
+            for i, t, c in zip(pdf.doc_id.tolist(), pdf.t, pdf.c, strict=True):
+                unit, norm = m.unit(pair(t, c))
+                out.append(m.features(norm, m.index.nearest(unit, m.k, i)) if len(unit[0]) else [math.nan] * 2)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "v": [x[0] for x in out], "n": [x[1] for x in out]})
 
-    rows = sample.select("doc_id", "y", "text").mapInPandas(vectors, "doc_id long, y int, t array<int>, c array<int>").collect()  # bounded by per_class
-    examples = sorted((int(r.doc_id), int(r.y), dict(zip(r.t, r.c, strict=True))) for r in rows)
-    return Model(terms, examples, weight, prior, k)
+    fits = held.repartition(8).mapInPandas(own, "doc_id long, y int, v double, n double").toPandas().sort_values(["doc_id", "y", "v", "n"])
+    y = fits.y.to_numpy(float)
+    model.calibrate(y, fits[["v", "n"]].to_numpy(float), np.array([weight[int(i)] for i in y]))
+    sent.unpersist()
+    number.unpersist()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -231,12 +323,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for text in pdf.text.tolist():
                 counts = of(text)
-                key = tuple(sorted(counts.items()))
+                key = blake2b(counts[0].tobytes() + counts[1].tobytes(), digest_size=16).digest()
                 if key not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
                     s, near = m.score(counts)
-                    top = sorted(counts, key=lambda t: (-m.idf[t] * (1 + math.log(counts[t])), t))[:5]
+                    heavy = m.weigh[counts[0]] * (1 + np.log(counts[1]))
+                    top = counts[0][np.argsort(-heavy, kind="stable")[:5]].tolist()
                     seen[key] = (s, [(i, x, int(y)) for x, i, y in near[:5]], [m.terms[t] for t in top])
                 out.append(seen[key])
             yield pd.DataFrame({"doc_id": pdf.doc_id, "score": [x[0] for x in out], "neighbours": [[{"doc_id": a, "similarity": b, "toxic": c} for a, b, c in x[1]] for x in out], "terms": [x[2] for x in out]})

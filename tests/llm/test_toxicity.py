@@ -54,3 +54,20 @@ def test_without_labels_and_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in scored(d, train(d, none, "true")).collect()] == [0.25]
     assert scored(d.limit(0), train(d.limit(0), none, "true")).count() == 0
+
+
+def test_rare_terms_count(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    plain, bad = [word(3) for _ in range(300)], [word(4) + "x" for _ in range(80)]
+    docs, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        docs.append((i, " ".join(rng.sample(plain, 12) + (rng.sample(bad, 4) if toxic else []))))
+        labels.append((i, 1, int(toxic)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = train(d, lab, "doc_id % 5 <> 0")
+    told = {t for t in model.terms if t in bad}
+    assert len(told) > 60 and len(model.terms) > 384
+    got = [(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in scored(d, model).where("doc_id % 5 = 0").collect()]
+    assert sum(got) / len(got) > 0.97
