@@ -4,9 +4,9 @@ Terms are words and character 4- and 5-grams of ``^word$``.  Every term in at le
 of the examples spans the space, however many there are.  A term weighs its TF-IDF times
 ``phi ** POWER``, where phi is its correlation with the label over the examples (the root of
 chi-square over their number): topics that all texts share then hide no rare telling word.  The
-labelled examples are a bounded sample (``per_class`` of each label, by hash of doc_id), so their
-index is small enough to travel with the tasks, and every document is scored where it is read: no
-shuffle of texts.
+labelled examples are a bounded sample (``per_class`` of each label, by hash of doc_id, less exact
+copies of one label), so their index is small enough to travel with the tasks, and every document
+is scored where it is read: no shuffle of texts.
 
 The index holds sparse postings in blocks of examples with each term's largest weight in each
 block, for the terms that hold ``HEAVY`` of the examples' squared weight; the light rest of an
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
@@ -241,17 +240,8 @@ def labelled(docs: DataFrame, labels: DataFrame, train: str, per_class: int) ->
 
 
 def varied(rows: DataFrame) -> DataFrame:
-    """One row of those whose texts agree in the smallest hash of three words in a row: copies, which would make their own words look telling."""
-
-    @F.pandas_udf("long")
-    def low(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            w = (t or "").lower().split()
-            out.append(min(zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(len(w) - 2, 1))))
-        return pd.Series(out, dtype="int64")
-
-    return rows.withColumn("_low", low("text")).dropDuplicates(["y", "_low"]).drop("_low")
+    """Of examples with equal label and text, the one with the smallest doc_id: copies would make their own words look telling."""
+    return rows.groupBy("y", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, where: str, per_class: int = PER_CLASS, k: int = K) -> Model:

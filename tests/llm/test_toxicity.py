@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from gridweave.llm.toxicity import BlockMaxIndex, scored, train
+from gridweave.llm.toxicity import BlockMaxIndex, scored, train, varied
 
 
 def test_index_equals_brute_force():
@@ -71,3 +71,11 @@ def test_rare_terms_count(spark):
     assert len(told) > 60 and len(model.terms) > 384
     got = [(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in scored(d, model).where("doc_id % 5 = 0").collect()]
     assert sum(got) / len(got) > 0.97
+
+
+def test_only_exact_copies_go(spark):
+    shared = "the same passage of many words in each of them"
+    rows = [(i, f"{shared} {i} {i * i} {w}", 0) for i, w in enumerate(["ash", "elm", "fir", "oak"])]
+    rows += [(20, rows[0][1], 0), (21, rows[0][1], 1), (30, None, 0), (31, None, 0)]
+    got = varied(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3))
+    assert sorted((r.doc_id, r.y) for r in got.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (21, 1), (30, 0)]
