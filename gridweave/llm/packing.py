@@ -14,6 +14,7 @@ empty table yields no rows; repeated rows are packed once each; other columns ar
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -104,23 +105,31 @@ class Encoder:
 
     A blank between two non-blank characters always starts a pre-token, so a text can be cut
     there and each part encoded by itself: parts repeat, and repeated parts come from a cache.
-    Texts with other white-space runs are encoded whole.
+    Texts with other white-space runs are encoded whole.  Added tokens (content -> id) are found
+    first, as ``tokenizers`` does, and what lies between them is encoded by itself.
     """
 
     runs = re.compile(r" \s|\s |^\s|\s$")
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.model.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.split is None or not any(t in text for t in self.added):
+            return self.plain(text)
+        return b"".join(self.added.get(part) or self.plain(part) for part in self.split.split(text))
+
+    def plain(self, text: str) -> bytes:
         return self.ids(text) if self.runs.search(text) else self.words(text)
 
     def words(self, text: str) -> bytes:
@@ -136,20 +145,29 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(rank_file: str, pattern: str) -> Encoder:
-    key = (rank_file, pattern)
+def encoder(rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    key = (rank_file, pattern, added)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
 
 
+def added_tokens(file: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens in a tokenizer's json file; those with white-space or word rules have no counterpart here."""
+    with open(file, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{file}: an added token has rules beyond its text")
+    return tuple((t["content"], int(t["id"])) for t in found)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, local long"
 
 
-def pieces(docs: DataFrame, rank_file: str, pattern: str, capacity: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, rank_file: str, pattern: str, capacity: int, end_id: int = 0, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Tokenise whole texts and cut those longer than ``capacity``; the first piece is the short one.
 
     ``task`` and ``local`` count a piece among its task's pieces of equal length, which is what
@@ -158,7 +176,7 @@ def pieces(docs: DataFrame, rank_file: str, pattern: str, capacity: int, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, seen = encoder(rank_file, pattern), TaskContext.get().partitionId(), {}
+        encode, task, seen = encoder(rank_file, pattern, added), TaskContext.get().partitionId(), {}
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf.doc_id.tolist(), pdf.text.tolist(), strict=True):
@@ -183,12 +201,14 @@ def pack(docs: DataFrame, capacity: int = 2048, rank_file: str | None = None, pa
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
+    added: tuple[tuple[str, int], ...] = ()
     if rank_file is None or pattern is None:
         import public_tokenizers
 
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
         rank_file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     at = shared_dir(docs.sparkSession)
-    cut = stored(pieces(docs, rank_file, pattern, capacity, end_id), f"{at}/pieces")
+    cut = stored(pieces(docs, rank_file, pattern, capacity, end_id, added), f"{at}/pieces")
     tally = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -86,3 +86,14 @@ def test_pack_is_whole_and_gapless(spark):
 
 def test_pack_of_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_equal_the_tokenizer(spark):
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"a {end} b", f"{end}{end} x", f"one two{end}\n\nthree  four {end}", "<|endoftext| >", f"x\t{end}{end}y z"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64).collect()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    for i, t in enumerate(texts):
+        ids = whole.encode(t, add_special_tokens=False).ids + [0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
