@@ -126,7 +126,10 @@ def forest(reps: DataFrame) -> DataFrame:
 
 
 def neighbours(entries: DataFrame, partitions: int) -> DataFrame:
-    """kind 'pair' (a, b), 'edge' (a at a partition's border) and 'large' (a in a region taken deeper)."""
+    """kind 'pair' (a, b), 'edge' (a at a partition's border) and 'large' (a in a region taken deeper).
+
+    ``big`` goes along with an edge whose region was taken deeper: what lies beyond the border is part of it.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -136,9 +139,11 @@ def neighbours(entries: DataFrame, partitions: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+        big = np.logical_or.reduceat(np.concatenate([p.big.to_numpy(bool) for p in parts]), starts) | (sizes > REGION)
+        big = np.repeat(big, sizes)
 
         def rows(kind: str, i: np.ndarray, b: np.ndarray | None = None) -> pd.DataFrame:
-            return pd.DataFrame({"kind": kind, "key": key[i], "deep": deep[i], "a": a[i], "b": pd.array(b if b is not None else [None] * len(i), "Int64")})
+            return pd.DataFrame({"kind": kind, "key": key[i], "deep": deep[i], "a": a[i], "big": big[i], "b": pd.array(b if b is not None else [None] * len(i), "Int64")})
 
         most = int(min(sizes.max(), REGION))
         for d in range(1, most):
@@ -148,7 +153,7 @@ def neighbours(entries: DataFrame, partitions: int) -> DataFrame:
         i = np.flatnonzero((size > REGION) & (np.arange(len(key)) > first))
         if len(i):
             yield rows("pair", i, a[first[i]])
-        large = np.flatnonzero(size > REGION)
+        large = np.flatnonzero(big)
         if len(large):
             yield rows("large", large)
         if partitions > 1:
@@ -159,18 +164,18 @@ def neighbours(entries: DataFrame, partitions: int) -> DataFrame:
         entries = entries.repartitionByRange(partitions, "key", "deep", "a")
     else:
         entries = entries.coalesce(1)
-    return entries.sortWithinPartitions("key", "deep", "a").mapInPandas(scan, "kind string, key long, deep long, a long, b long")
+    return entries.sortWithinPartitions("key", "deep", "a").mapInPandas(scan, "kind string, key long, deep long, a long, big boolean, b long")
 
 
 def candidates(reps: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """(a, b, met): pairs and in how many trees they met; (key, a): members of regions taken deeper."""
-    entries, partitions = forest(reps), int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries, partitions = forest(reps).withColumn("big", F.lit(False)), int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = []
     while True:
         found.append(stored(neighbours(entries, partitions), f"{at}/neighbours-{len(found)}"))
         if partitions == 1:
             break
-        entries = found[-1].where("kind = 'edge'").select("key", "deep", "a")
+        entries = found[-1].where("kind = 'edge'").select("key", "deep", "a", "big")
         partitions = 1 if partitions <= 64 else partitions // 16
     rows = found[0]
     for x in found[1:]:

@@ -89,3 +89,16 @@ def test_rechecked_finds_every_link_across_classes(spark, monkeypatch):
     close = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     want = {(0, i) for _, i, _ in odd if any(close(i, j) for j in main)} | {(i, j) for _, i, _ in odd for _, j, _ in odd if i < j and close(i, j)}
     assert got == want and want
+
+
+def test_large_regions_reach_over_partition_borders(spark, tmp_path):
+    sig = bytes(range(128)) * 4
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, partitions in ((30, 7), (22, 9), (40, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            reps = spark.createDataFrame([(i, i, bytearray(sig)) for i in range(n)], "sid long, doc_id long, sig binary")
+            _, large = neardup.candidates(reps, f"{tmp_path}/{n}")
+            assert large.count() == neardup.TREES * n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
