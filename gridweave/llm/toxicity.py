@@ -1,23 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with evidence.
 
-Terms are words and character 4- and 5-grams of ``^word$``.  Every term in at least ``MIN_DOCS``
-of the examples spans the space, however many there are.  A term weighs its TF-IDF times
-``phi ** POWER``, where phi is its correlation with the label over the examples (the root of
-chi-square over their number): topics that all texts share then hide no rare telling word.  The
-labelled examples are a bounded sample (``per_class`` of each label, by hash of doc_id, less exact
-copies of one label), so their index is small enough to travel with the tasks, and every document
-is scored where it is read: no shuffle of texts.
-
-The index holds sparse postings in blocks of examples with each term's largest weight in each
-block, for the terms that hold ``HEAVY`` of the examples' squared weight; the light rest of an
-example is a vector whose length bounds what it can add.  A search visits blocks in falling order
-of their upper bound, completes the scores of examples that can still be among the best, and stops
-once no remaining block can hold a better one, so the k nearest are exact (ties to the smaller
-doc_id).  Their votes, weighted by similarity, are calibrated by a logistic fit to leave-one-out
-votes of the examples.
+Terms are lower-cased words; every word in at least ``MIN_DOCS`` of the examples spans the space,
+however many there are.  A term weighs its TF-IDF times ``phi ** POWER``, where phi is its
+correlation with the label over the examples (the root of chi-square over their number): topics
+that all texts share then hide no rare telling word.  The labelled examples are a bounded sample
+(``per_class`` of each label, by hash of doc_id, less exact copies of one label), so their index is
+small enough to travel with the tasks, and every document is scored where it is read: no shuffle of
+texts.
+
+The index holds each term's postings in order of blocks of examples, with the term's largest weight
+in each block.  A query leaves out the terms whose postings are long for what they weigh, up to a
+rest of length ``SLACK``, which bounds what they can add.  It visits the block of the highest upper
+bound first, then all blocks that can still hold one of the k best; what an example has, plus the
+rest, decides whether its cosine is computed in full from its own vector.  So the k nearest are
+exact (ties to the smaller doc_id).  Their votes, weighted by similarity, are calibrated by a
+logistic fit to leave-one-out votes of the examples.
 
 Defined cases: null and empty texts, and texts without any term of the space, get the rate of toxic
-labels among such examples or, if there are none, the calibrated score of no votes; labels that are null or whose document is missing are ignored; several
+labels among the sampled examples without a term, copies included, or, if there are none, the
+calibrated score of no votes; labels that are null or whose document is missing are ignored; several
 labels of one document count as toxic if any is; without usable labels the score is 0.25;
 repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,46 +37,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_mod, shared_dir, stored, table
 
-PER_CLASS, MIN_DOCS, POWER, K, BLOCK, HEAVY = 4096, 6, 1.5, 15, 1024, 0.99
-CACHE_ENTRIES = 200_000
+PER_CLASS, MIN_DOCS, POWER, K, BLOCK, SLACK = 4096, 2, 1.5, 15, 1024, 0.02
+#: Scores of texts remembered by a task.
+CACHE_ENTRIES = 20_000
+#: Rows of which the best one counts when a threshold is sought.
+GROUP = 16
+#: More than single precision can be off by.
+MARGIN = 1e-5
 LETTERS = re.compile(r"[^\W\d_]+")
 
-
-def terms_of(token: str) -> set[str]:
-    out = set()
-    for w in LETTERS.findall(token):
-        out.add(w)
-        p = f"^{w}$"
-        for n in (4, 5):
-            out.update(p[i : i + n] for i in range(len(p) - n + 1))
-    return out
-
-
 Pair = tuple[np.ndarray, np.ndarray]
 
 
-class Vectors:
-    """Text -> numbers of its terms, ascending, and their counts, with a bounded cache from tokens to terms."""
+def words_of(text: str | None) -> Counter:
+    return Counter(LETTERS.findall((text or "").lower()))
 
-    def __init__(self, number: dict[str, int]):
-        self.number, self.cache = number, {}
 
-    def __call__(self, text: str | None) -> Pair:
-        cache, parts, times = self.cache, [], []
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        for token, c in Counter((text or "").lower().split()).items():
-            got = cache.get(token)
-            if got is None:
-                got = cache[token] = np.array([self.number[t] for t in terms_of(token) if t in self.number], np.int32)
-            if len(got):
-                parts.append(got)
-                times.append(c)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        count = np.bincount(np.concatenate(parts), np.repeat(np.array(times, float), [len(x) for x in parts]))
-        terms = np.flatnonzero(count)
-        return terms, count[terms]
+def vector(text: str | None, number: dict[str, int]) -> Pair:
+    """The numbers of a text's terms, ascending, and their counts."""
+    held = sorted((number[t], n) for t, n in words_of(text).items() if t in number)
+    return np.array([t for t, _ in held], np.int64), np.array([n for _, n in held], float)
 
 
 def pair_of(vector: dict[int, float] | Pair) -> Pair:
@@ -100,66 +81,71 @@ class BlockMaxIndex:
         order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], float)
-        mass = np.zeros(terms)
-        for t, w in pairs:
-            mass[t] += w**2
-        falling = np.argsort(-mass, kind="stable")
-        heavy = falling[: int(np.searchsorted(np.cumsum(mass[falling]), HEAVY * mass.sum())) + 1]
-        self.place = np.full(terms, -1, np.int32)
-        self.place[np.sort(heavy)] = np.arange(len(heavy))
-        blocks = max(1, -(-len(ids) // BLOCK))
-        self.most, self.blocks, light, self.rest = np.zeros((len(heavy), blocks)), [], [], np.zeros(len(ids))
-        for b in range(blocks):  # one at a time, as the copies of all would not fit the driver
-            mine = [pairs[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
-            term = np.concatenate([t for t, _ in mine] + [np.zeros(0, np.int32)]).astype(np.int32)
-            weight = np.concatenate([w for _, w in mine] + [np.zeros(0)])
-            row = np.repeat(np.arange(len(mine), dtype=np.int16), [len(t) for t, _ in mine])
-            at = self.place[term]
-            low = at < 0
-            ends = np.r_[0, np.cumsum(np.bincount(row[low], minlength=len(mine)))]
-            light.append((ends, term[low], weight[low]))
-            self.rest[b * BLOCK : b * BLOCK + len(mine)] = np.sqrt(np.bincount(row[low], weight[low] ** 2, len(mine)))
-            at, row, weight = at[~low], row[~low], weight[~low]
-            np.maximum.at(self.most[:, b], at, weight)
-            turn = np.argsort(at, kind="stable")
-            self.blocks.append((np.r_[0, np.cumsum(np.bincount(at, minlength=len(heavy)))].astype(np.int32), row[turn], weight[turn]))
-        self.light = light
-        self.most_rest = np.array([self.rest[b * BLOCK : (b + 1) * BLOCK].max(initial=0) for b in range(blocks)])
+        self.ends = np.r_[0, np.cumsum([len(pairs[i][0]) for i in order])].astype(np.int64)
+        self.terms = np.concatenate([pairs[i][0] for i in order] + [np.zeros(0, np.int32)]).astype(np.int32)
+        self.weights = np.concatenate([pairs[i][1] for i in order] + [np.zeros(0)])
         self.wide = terms
+        self.build()
+
+    def build(self) -> None:
+        """The postings, from the examples' own vectors."""
+        blocks = max(1, -(-len(self.ids) // BLOCK))
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))
+        turn = np.argsort(self.terms, kind="stable")  # rows ascend within a term
+        self.rows, self.posted = row[turn].astype(np.int64), self.weights[turn].astype(np.float32)
+        cell = self.terms[turn].astype(np.int64) * blocks + self.rows // BLOCK
+        self.starts = np.searchsorted(cell, np.arange(self.wide * blocks + 1)).astype(np.int32)
+        self.most = np.zeros(self.wide * blocks, np.float32)
+        np.maximum.at(self.most, cell, self.posted)
+        self.most = self.most.reshape(self.wide, blocks)
+        self.df = np.bincount(self.terms, minlength=self.wide)
+        self.padded = -(-max(len(self.ids), 1) // GROUP) * GROUP
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("ids", "labels", "ends", "terms", "weights", "wide")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.build()
 
     def nearest(self, query: dict[int, float] | Pair, k: int, skip: int | None = None) -> list[tuple[float, int, float]]:
         """(similarity, doc_id, label) of the k most similar examples with a common term."""
         terms, weights = pair_of(query)
-        heavy = self.place[terms] >= 0
-        at, w = self.place[terms[heavy]], weights[heavy]
+        if not len(terms) or not len(self.ids):
+            return []
         whole = np.zeros(self.wide)
-        whole[terms[~heavy]] = weights[~heavy]
-        rest = math.sqrt(float((weights[~heavy] ** 2).sum()))
-        bound = w @ self.most[at] + rest * self.most_rest
-        best: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
+        whole[terms] = weights
+        cheap = np.argsort(weights**2 / (1 + self.df[terms]), kind="stable")
+        out = int(np.searchsorted(np.cumsum(weights[cheap] ** 2), SLACK**2))
+        rest = math.sqrt(float((weights[cheap[:out]] ** 2).sum()))
+        kept = cheap[out:]
+        at, w = terms[kept], weights[kept].astype(np.float32)
+        bound = w @ self.most[at] + rest + MARGIN
+        blocks, best = len(bound), []
+        order = np.argsort(-bound, kind="stable")
+        for part in (order[:1], order[1:]):
             least = -best[-1][0] if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] * (1 + 1e-9) + 1e-11 < least:
+            part = part[bound[part] >= least]
+            if not len(part):
                 break
-            starts, rows, posted = self.blocks[b]
-            ids = self.ids[b * BLOCK : (b + 1) * BLOCK]
-            run = runs_of(starts[at], starts[at + 1])
-            score = np.bincount(rows[run], np.repeat(w, starts[at + 1] - starts[at]) * posted[run], len(ids)).astype(float)  # counts if empty
-            most = score + rest * self.rest[b * BLOCK : b * BLOCK + len(ids)]
-            if len(ids) > k + 1:  # one may be skipped; what an example has already cannot fall
-                least = max(least, float(np.partition(score, -k - 1)[-k - 1]))
-            hit = np.flatnonzero((most > 0) & (most * (1 + 1e-9) + 1e-11 >= least))
-            if rest and len(hit):
-                ends, light, held = self.light[b]
-                first, last = ends[hit], ends[hit + 1]
-                run = runs_of(first, last)
-                score[hit] += np.bincount(np.repeat(np.arange(len(hit)), last - first), whole[light[run]] * held[run], len(hit))
-            score = np.round(score[hit], 12)
-            hit, score = hit[score > 0], score[score > 0]
-            if len(hit) > k + 1:
-                near = score >= np.partition(score, -k - 1)[-k - 1]
-                hit, score = hit[near], score[near]
-            best += [(-s, i, y) for s, i, y in zip(score.tolist(), ids[hit].tolist(), self.labels[b * BLOCK + hit].tolist(), strict=True) if i != skip]
+            cell = (at[:, None] * blocks + part).ravel()
+            first, last = self.starts[cell], self.starts[cell + 1]
+            run = runs_of(first, last)
+            score = np.bincount(self.rows.take(run), np.repeat(np.repeat(w, len(part)), last - first) * self.posted.take(run), self.padded).astype(float)
+            # one may be skipped; what an example has already cannot fall: k + 1 groups of rows have one of at least this
+            tops = score.reshape(GROUP, -1).max(axis=0)  # neighbours in order are alike and go to different groups
+            if len(tops) > k + 1:
+                least = max(least, float(np.partition(tops, -k - 1)[-k - 1]))
+            if least > rest + MARGIN:
+                hit = np.flatnonzero(score >= least - rest - MARGIN)
+            else:  # even rows without a posting so far may count
+                here = np.zeros(blocks, bool)
+                here[part] = True
+                hit = np.flatnonzero(np.repeat(here, BLOCK)[: len(self.ids)] & ((score[: len(self.ids)] > 0) | (rest > 0)))
+            first, last = self.ends[hit], self.ends[hit + 1]
+            run = runs_of(first, last)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(hit)), last - first), whole[self.terms[run]] * self.weights[run], len(hit)), 12)
+            best += [(-s, i, y) for s, i, y in zip(exact.tolist(), self.ids[hit].tolist(), self.labels[hit].tolist(), strict=True) if s > 0 and i != skip]
             best = sorted(best)[:k]
         return [(-s, i, y) for s, i, y in best]
 
@@ -182,22 +168,41 @@ class Model:
 
     def __init__(self, terms: list[tuple[str, float]], examples: Iterable[tuple[int, int, Pair]], prior: float, k: int):
         self.terms = [t for t, _ in terms]
+        self.held = None
         self.weigh = np.array([w for _, w in terms])
         self.k, self.prior, self.floor, self.fit = k, prior, prior, None
         units = [(i, y, self.unit(v)[0]) for i, y, v in examples]
         units = [x for x in units if len(x[2][0])]
         self.index = BlockMaxIndex([i for i, _, _ in units], [y for _, y, _ in units], [u for _, _, u in units], len(terms))
 
-    def calibrate(self, y: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
-        """``x`` holds the examples' features without their own vote; not numbers where an example has no term."""
+    def calibrate(self, y: np.ndarray, x: np.ndarray, w: np.ndarray, rows: np.ndarray) -> None:
+        """``x`` holds the examples' features without their own vote; not numbers where an example has no term.
+
+        ``w`` weighs the examples, ``rows`` is how many labelled rows each stands for.
+        """
         none = np.isnan(x).any(axis=1)
         if none.any():
-            self.floor = float((w[none] @ y[none] + self.prior) / (w[none].sum() + 1))
+            n = rows[none]
+            self.floor = float((n @ y[none] + self.prior) / (n.sum() + 1))
         if not none.all():
             self.fit = logistic(x[~none], y[~none], w[~none])
             if not none.any():
                 self.floor = self.calibrated(self.features(0.0, []))
 
+    def send(self, spark: SparkSession) -> Callable[[], Model]:
+        """The model in tasks: the examples and terms are broadcast once, what calibration found goes with each function."""
+        if self.held is None:
+            self.held = spark.sparkContext.broadcast((self.terms, self.weigh, self.index))
+        held, rest = self.held, (self.k, self.prior, self.floor, self.fit)
+
+        def get() -> Model:
+            m = Model.__new__(Model)
+            m.terms, m.weigh, m.index = held.value
+            m.k, m.prior, m.floor, m.fit = rest
+            return m
+
+        return get
+
     def calibrated(self, x: list[float]) -> float:
         z = float(np.dot(self.fit[:-1], x) + self.fit[-1])
         return 1 / (1 + math.exp(-min(max(z, -30), 30)))
@@ -240,8 +245,8 @@ def labelled(docs: DataFrame, labels: DataFrame, train: str, per_class: int) ->
 
 
 def varied(rows: DataFrame) -> DataFrame:
-    """Of examples with equal label and text, the one with the smallest doc_id: copies would make their own words look telling."""
-    return rows.groupBy("y", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "y")
+    """Of examples with equal label and text, the one with the smallest doc_id, and how many there are: copies would make their own words look telling."""
+    return rows.groupBy("y", "text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "text", "y", "copies")
 
 
 def train(docs: DataFrame, labels: DataFrame, where: str, per_class: int = PER_CLASS, k: int = K) -> Model:
@@ -253,11 +258,13 @@ def train(docs: DataFrame, labels: DataFrame, where: str, per_class: int = PER_C
         n: tuple[Counter, Counter] = (Counter(), Counter())
         for pdf in batches:
             for text, y in zip(pdf.text.tolist(), pdf.y.tolist(), strict=True):
-                n[y].update({t for token in set((text or "").lower().split()) for t in terms_of(token)})
+                n[y].update(words_of(text).keys())
         for y in (0, 1):
-            yield pd.DataFrame({"term": list(n[y]), "y": y, "n": list(n[y].values())})
+            if n[y]:
+                yield pd.DataFrame({"term": list(n[y]), "y": y, "n": list(n[y].values())})
 
-    size = {int(r.y): int(r.n) for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    tallied = sample.groupBy("y").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).collect()
+    size, share = {int(r.y): int(r.n) for r in tallied}, {int(r.y): have[int(r.y)] / int(r.copies) for r in tallied}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     weight = tuple(have.get(y, 0) / max(size.get(y, 0), 1) for y in (0, 1))
     total = have.get(0, 0) + have.get(1, 0)
@@ -273,69 +280,80 @@ def train(docs: DataFrame, labels: DataFrame, where: str, per_class: int = PER_C
     number = spark.sparkContext.broadcast({t: i for i, (t, _) in enumerate(terms)})
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Vectors(number.value)
         for pdf in batches:
-            v = [of(t) for t in pdf.text.tolist()]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "t": [t.astype(np.int32).tobytes() for t, _ in v], "c": [c.astype(np.int32).tobytes() for _, c in v]})
+            v = [vector(t, number.value) for t in pdf.text.tolist()]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "copies": pdf.copies, "t": [t.astype(np.int32).tobytes() for t, _ in v], "c": [c.astype(np.int32).tobytes() for _, c in v]})
 
     # bounded by per_class; stored once: the index and the calibration read it
-    held = stored(sample.select("doc_id", "y", "text").mapInPandas(vectors, "doc_id long, y int, t binary, c binary"), f"{shared_dir(spark)}/vectors")
+    held = stored(sample.select("doc_id", "y", "copies", "text").mapInPandas(vectors, "doc_id long, y int, copies long, t binary, c binary"), f"{shared_dir(spark)}/vectors")
     pair = lambda t, c: (np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
     # one partition at a time in the driver; the index orders them itself
     model = Model(terms, ((int(r.doc_id), int(r.y), pair(r.t, r.c)) for r in held.toLocalIterator()), prior, k)
-    sent = spark.sparkContext.broadcast(model)
+    sent = model.send(spark)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+        m = sent()
         for pdf in batches:
             out = []
             for i, t, c in zip(pdf.doc_id.tolist(), pdf.t, pdf.c, strict=True):
                 unit, norm = m.unit(pair(t, c))
                 out.append(m.features(norm, m.index.nearest(unit, m.k, i)) if len(unit[0]) else [math.nan] * 2)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "v": [x[0] for x in out], "n": [x[1] for x in out]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "copies": pdf.copies, "v": [x[0] for x in out], "n": [x[1] for x in out]})
 
-    fits = held.repartition(8).mapInPandas(own, "doc_id long, y int, v double, n double").toPandas().sort_values(["doc_id", "y", "v", "n"])
+    fits = held.repartition(8).mapInPandas(own, "doc_id long, y int, copies long, v double, n double").toPandas().sort_values(["doc_id", "y", "v", "n"])
     y = fits.y.to_numpy(float)
-    model.calibrate(y, fits[["v", "n"]].to_numpy(float), np.array([weight[int(i)] for i in y]))
-    sent.unpersist()
+    model.calibrate(y, fits[["v", "n"]].to_numpy(float), np.array([weight[int(i)] for i in y]), fits.copies.to_numpy(float) * np.array([share[int(i)] for i in y]))
     number.unpersist()
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, neighbours (doc_id, similarity, toxic), terms: the decision and its evidence."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.send(docs.sparkSession)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        of, seen = Vectors({t: i for i, t in enumerate(m.terms)}), {}
+        m, number, seen = sent(), None, {}
         for pdf in batches:
-            out = []
+            number, out = number or {t: i for i, t in enumerate(m.terms)}, []
             for text in pdf.text.tolist():
-                counts = of(text)
-                key = blake2b(counts[0].tobytes() + counts[1].tobytes(), digest_size=16).digest()
+                key = digest(text)
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > CACHE_ENTRIES:
                         seen.clear()
-                    s, near = m.score(counts)
-                    heavy = m.weigh[counts[0]] * (1 + np.log(counts[1]))
-                    top = counts[0][np.argsort(-heavy, kind="stable")[:5]].tolist()
+                    terms, n = vector(text, number)
+                    s, near = m.score((terms, n))
+                    top = terms[np.argsort(-m.weigh[terms] * (1 + np.log(n)), kind="stable")[:5]].tolist()
                     seen[key] = (s, [(i, x, int(y)) for x, i, y in near[:5]], [m.terms[t] for t in top])
                 out.append(seen[key])
+            # ids go as strings: a null beside them would make them floats
             yield pd.DataFrame({"doc_id": pdf.doc_id, "score": [x[0] for x in out], "neighbours": [[{"doc_id": a, "similarity": b, "toxic": c} for a, b, c in x[1]] for x in out], "terms": [x[2] for x in out]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, score double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, terms array<string>")
+    out = docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(score, "doc_id string, score double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, terms array<string>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def digest(text: str | None) -> bytes:
+    return blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def harmless(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``most``, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.send(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Vectors({t: i for i, t in enumerate(held.value.terms)})
+        m, seen = sent(), {}
+        number = {t: i for i, t in enumerate(m.terms)}
         for part in texts:
-            yield pd.Series([held.value.score(of(t))[0] for t in part.tolist()], dtype=float)
+            out = []
+            for text in part.tolist():
+                key = digest(text)
+                if key not in seen:
+                    if len(seen) > CACHE_ENTRIES:
+                        seen.clear()
+                    seen[key] = m.score(vector(text, number))[0]
+                out.append(seen[key])
+            yield pd.Series(out, dtype=float)
 
     return docs.where(score("text") < most)
 

@@ -59,7 +59,7 @@ def test_without_labels_and_documents(spark):
 def test_rare_terms_count(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
-    plain, bad = [word(3) for _ in range(300)], [word(4) + "x" for _ in range(80)]
+    plain, bad = [word(3) for _ in range(400)], [word(4) + "x" for _ in range(80)]
     docs, labels = [], []
     for i in range(800):
         toxic = i % 4 == 0
@@ -78,4 +78,48 @@ def test_only_exact_copies_go(spark):
     rows = [(i, f"{shared} {i} {i * i} {w}", 0) for i, w in enumerate(["ash", "elm", "fir", "oak"])]
     rows += [(20, rows[0][1], 0), (21, rows[0][1], 1), (30, None, 0), (31, None, 0)]
     got = varied(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3))
-    assert sorted((r.doc_id, r.y) for r in got.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (21, 1), (30, 0)]
+    assert sorted((r.doc_id, r.y, r.copies) for r in got.collect()) == [(0, 0, 2), (1, 0, 1), (2, 0, 1), (3, 0, 1), (21, 1, 1), (30, 0, 2)]
+
+
+def test_rate_of_texts_without_a_term(spark):
+    rows = [(i, "") for i in range(100)] + [(1000 + i, f"word{'abc'[i % 3]}x thing") for i in range(300)]
+    lab = [(i, 1, int(i < 10)) for i in range(100)] + [(1000 + i, 1, 0) for i in range(300)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in scored(d, train(d, lab, "true")).collect()}
+    assert 0.08 < got[50] < 0.12 and got[1000] < 0.08
+
+
+def test_large_ids_beside_a_null(spark):
+    d = spark.createDataFrame([(2**60 + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in scored(d, train(d, none, "true")).collect()} == {2**60 + 1, None}
+
+
+def test_whole_scores_equal_brute_force(spark):
+    """Every cosine by dictionaries, all neighbours sorted: the same neighbours, votes and scores."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeo") for _ in range(3))
+    docs = [(i, " ".join([word() for _ in range(20)] + ["grumph"] * (i % 3 == 0))) for i in range(240)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(180)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = train(d, lab, "true")
+    number = {t: i for i, t in enumerate(model.terms)}
+
+    def unit(text):
+        n = {}
+        for w in text.split():
+            n[w] = n.get(w, 0) + 1
+        v = {t: (1 + math.log(c)) * model.weigh[number[t]] for t, c in n.items() if t in number and model.weigh[number[t]] > 0}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}, norm
+
+    units = {i: unit(t)[0] for i, t in docs[:180]}
+    for r in scored(d, model).collect():
+        q, norm = unit(dict(docs)[r.doc_id])
+        near = sorted((-round(sum(x * u.get(t, 0) for t, x in q.items()), 12), i) for i, u in units.items())[:15]
+        near = [(-s, i, float(i % 3 == 0)) for s, i in near if s < 0]
+        assert [(x.doc_id, round(x.similarity, 9)) for x in r.neighbours] == [(i, round(s, 9)) for s, i, _ in near[:5]]
+        mass = sum(s for s, _, _ in near)
+        vote = min(max((sum(s * y for s, _, y in near) + 0.5 * model.prior) / (mass + 0.5), 1e-3), 1 - 1e-3)
+        z = model.fit[0] * math.log(vote / (1 - vote)) + model.fit[1] * math.log1p(norm) + model.fit[2]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
