@@ -8,8 +8,8 @@ that all texts share then hide no rare telling word.  The labelled examples are
 small enough to travel with the tasks, and every document is scored where it is read: no shuffle of
 texts.
 
-The index holds each term's postings in order of blocks of examples, with the term's largest weight
-in each block.  A query leaves out the terms whose postings are long for what they weigh, up to a
+The index holds each term's postings in order of blocks of examples (as an array over all examples
+where they are many), with the term's largest weight in each block.  A query leaves out the terms whose postings are long for what they weigh, up to a
 rest of length ``SLACK``, which bounds what they can add.  It visits the block of the highest upper
 bound first, then all blocks that can still hold one of the k best; what an example has, plus the
 rest, decides whether its cosine is computed in full from its own vector.  So the k nearest are
@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_mod, shared_dir, stored, table
 
-PER_CLASS, MIN_DOCS, POWER, K, BLOCK, SLACK = 4096, 2, 1.5, 15, 1024, 0.02
+PER_CLASS, MIN_DOCS, POWER, K, BLOCK, SLACK = 4096, 2, 1.5, 15, 1024, 0.01
 #: Scores of texts remembered by a task.
 CACHE_ENTRIES = 20_000
 #: Rows of which the best one counts when a threshold is sought.
 GROUP = 16
+#: From this share of the examples on, a term's postings are an array.
+OFTEN = 0.03
 #: More than single precision can be off by.
 MARGIN = 1e-5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,14 +95,21 @@ class BlockMaxIndex:
         row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))
         turn = np.argsort(self.terms, kind="stable")  # rows ascend within a term
         self.rows, self.posted = row[turn].astype(np.int64), self.weights[turn].astype(np.float32)
+        self.df = np.bincount(self.terms, minlength=self.wide)
+        self.padded = -(-max(len(self.ids), 1) // GROUP) * GROUP
         cell = self.terms[turn].astype(np.int64) * blocks + self.rows // BLOCK
-        self.starts = np.searchsorted(cell, np.arange(self.wide * blocks + 1)).astype(np.int32)
         self.most = np.zeros(self.wide * blocks, np.float32)
         np.maximum.at(self.most, cell, self.posted)
         self.most = self.most.reshape(self.wide, blocks)
-        self.df = np.bincount(self.terms, minlength=self.wide)
-        self.padded = -(-max(len(self.ids), 1) // GROUP) * GROUP
-
+        # a list that holds a good part of all rows is kept as an array over them
+        often = np.flatnonzero(self.df >= max(GROUP, len(self.ids) * OFTEN))
+        self.place = np.full(self.wide, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), self.padded), np.float32)
+        where = self.place[self.terms[turn]]
+        self.full[where[where >= 0], self.rows[where >= 0]] = self.posted[where >= 0]
+        self.rows, self.posted, cell = self.rows[where < 0], self.posted[where < 0], cell[where < 0]
+        self.starts = np.searchsorted(cell, np.arange(self.wide * blocks + 1)).astype(np.int32)
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("ids", "labels", "ends", "terms", "weights", "wide")}
 
@@ -115,13 +124,16 @@ class BlockMaxIndex:
             return []
         whole = np.zeros(self.wide)
         whole[terms] = weights
-        cheap = np.argsort(weights**2 / (1 + self.df[terms]), kind="stable")
+        cheap = np.argsort(weights**2 / (1 + np.minimum(self.df[terms], GROUP * GROUP)), kind="stable")
         out = int(np.searchsorted(np.cumsum(weights[cheap] ** 2), SLACK**2))
         rest = math.sqrt(float((weights[cheap[:out]] ** 2).sum()))
         kept = cheap[out:]
         at, w = terms[kept], weights[kept].astype(np.float32)
         bound = w @ self.most[at] + rest + MARGIN
         blocks, best = len(bound), []
+        often = self.place[at] >= 0
+        base = w[often] @ self.full[self.place[at[often]]]
+        at, w = at[~often], w[~often]
         order = np.argsort(-bound, kind="stable")
         for part in (order[:1], order[1:]):
             least = -best[-1][0] if len(best) == k else 0.0
@@ -131,13 +143,18 @@ class BlockMaxIndex:
             cell = (at[:, None] * blocks + part).ravel()
             first, last = self.starts[cell], self.starts[cell + 1]
             run = runs_of(first, last)
-            score = np.bincount(self.rows.take(run), np.repeat(np.repeat(w, len(part)), last - first) * self.posted.take(run), self.padded).astype(float)
+            score = np.bincount(self.rows.take(run), np.repeat(np.repeat(w, len(part)), last - first) * self.posted.take(run), self.padded) + base
+            for b in set(range(blocks)).difference(part.tolist()):
+                score[b * BLOCK : (b + 1) * BLOCK] = 0
             # one may be skipped; what an example has already cannot fall: k + 1 groups of rows have one of at least this
             tops = score.reshape(GROUP, -1).max(axis=0)  # neighbours in order are alike and go to different groups
             if len(tops) > k + 1:
                 least = max(least, float(np.partition(tops, -k - 1)[-k - 1]))
             if least > rest + MARGIN:
                 hit = np.flatnonzero(score >= least - rest - MARGIN)
+                if len(hit) > k + 1:
+                    least = max(least, float(np.partition(score[hit], -k - 1)[-k - 1]))
+                    hit = hit[score[hit] >= least - rest - MARGIN]
             else:  # even rows without a posting so far may count
                 here = np.zeros(blocks, bool)
                 here[part] = True
