@@ -21,27 +21,42 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and all tasks share this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "gridweave-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gridweave-{uuid.uuid4().hex}"
 
 
-def frugal(spark: SparkSession) -> None:
-    """Drop shuffle files when a query ends: what is needed later has been written as a table."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+#: Drops shuffle files when a query ends: what is needed later has been written as a table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here."""
     spark = session(df)
-    frugal(spark)
-    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str):
+    """The file system that a shared folder's URI names, and the path in it: for tasks that read or write there themselves."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables whose readers have finished."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -59,5 +74,10 @@ def ascii_lower(c: Column) -> Column:
     return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
+def wrapped(df: DataFrame, **keys: Column) -> DataFrame:
+    """``keys`` beside the whole row as ``row``: no name of the caller's can clash.  ``row.*`` gives it back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(k.alias(n) for n, k in keys.items()))
+
+
 def crc_mod(c: Column, m: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % m

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower, shared_dir, stored, table
+from .common import ascii_lower, shared_dir, stored, table, wrapped
 
 #: Broadcast the phrase side of a join up to so many rows (of about 100 bytes), shuffle beyond.
 BROADCAST_ROWS = 100_000
@@ -124,7 +124,7 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     phrases = stored(phrases_of(items, size), f"{shared_dir(docs.sparkSession)}/phrases")
     hit = phrase_matches(docs, phrases).select("did", "h").distinct()
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    return docs.withColumns({"_did": did, "_h": F.xxhash64("text")}).join(hit, (F.col("_did") == hit.did) & (F.col("_h") == hit.h), "left_anti").select(docs.columns)
+    return wrapped(docs, did=did, h=F.xxhash64("text")).join(hit, ["did", "h"], "left_anti").select("row.*")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2) -> DataFrame:

@@ -95,7 +95,7 @@ def row_by_row(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-BATCH = "batch string, ids array<long>, held array<boolean>, lens array<long>, vocab binary, tokens binary"
+BATCH = "batch string, ids array<string>, held array<boolean>, lens array<long>, vocab binary, tokens binary"
 
 
 def encode(docs: DataFrame, held: Callable[[int | None], bool]) -> DataFrame:
@@ -119,8 +119,9 @@ def encode(docs: DataFrame, held: Callable[[int | None], bool]) -> DataFrame:
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 t = np.ones(len(words) + 1, np.uint32)
                 t[:-1] = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
-                key = None if doc_id is None or doc_id != doc_id else int(doc_id)
-                ids.append(key)
+                # ids go as strings: a null beside them would make them floats
+                key = int(doc_id) if isinstance(doc_id, str) else None
+                ids.append(doc_id if isinstance(doc_id, str) else None)
                 flags.append(held(key))
                 lens.append(len(t))
                 parts.append(t)
@@ -131,7 +132,7 @@ def encode(docs: DataFrame, held: Callable[[int | None], bool]) -> DataFrame:
         if state[1]:
             yield batch(*state)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, BATCH)
+    return docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(run, BATCH)
 
 
 class Batch:
@@ -311,7 +312,7 @@ def score(asked: DataFrame, estimates: Estimates, buckets: int) -> DataFrame:
                 add = lambda x, b=b: np.add.reduceat(x, b.first) if len(b.first) else x
                 known = np.where(np.arange(len(w)) == 0, 0, w)[b.tokens]
                 yield pd.DataFrame({
-                    "doc_id": pd.array(list(r.ids), "Int64"), "held_out": list(r.held), "n_tokens": b.lens, "n_known": add((known > 0).astype(np.int64)), "train_tokens": e.total,
+                    "doc_id": pd.array([None if i is None else int(i) for i in r.ids], "Int64"), "held_out": list(r.held), "n_tokens": b.lens, "n_known": add((known > 0).astype(np.int64)), "train_tokens": e.total,
                     "base_score": add(np.log10((known + 1) / (e.total + e.types + 1))), "score": add(np.log10(two)[b.pair]),
                 })
 

@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import discard, shared_dir, stored, table
+from .common import discard, shared_dir, stored, table, wrapped
 from .components import components
 
 HASHES, TREES, LEAD, DEEP, REGION, NEAR, SEED = 128, 32, 6, 4, 16, 2, 20240229
@@ -100,7 +100,9 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 sig.append(signature(s, a, x).astype("<u4").tobytes() if len(s) else None)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "h": pdf.h, "n": n, "sid": pd.array(sid, "Int64"), "sig": sig})
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInPandas(sign, "doc_id long, h long, n long, sid long, sig binary")
+    # ids go as strings: a null beside them would make them floats
+    out = docs.select(F.col("doc_id").cast("long").cast("string"), F.xxhash64("text").alias("h"), "text").mapInPandas(sign, "doc_id string, h long, n long, sid long, sig binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -332,10 +334,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each class, one of equal rows."""
     stay = classes(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    named = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    named = wrapped(docs, _doc=F.col("doc_id").cast("long"), _text=F.xxhash64("text"))
     joined = named.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")))
     one = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("_h"))
-    return joined.withColumn("_one", one).where("_one = 1").select(docs.columns)
+    return joined.withColumn("_one", one).where("_one = 1").select("row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import shared_dir, stored, table
 
 #: Pieces remembered by a worker's cache of encodings before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 class SegmentTree:
@@ -164,7 +164,7 @@ def added_tokens(file: str) -> tuple[tuple[str, int], ...]:
     return tuple((t["content"], int(t["id"])) for t in found)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, local long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, task long, local long"
 
 
 def pieces(docs: DataFrame, rank_file: str, pattern: str, capacity: int, end_id: int = 0, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
@@ -191,9 +191,11 @@ def pieces(docs: DataFrame, rank_file: str, pattern: str, capacity: int, end_id:
                     seen[length] = local + 1
                     rows.append((doc_id, k, start, length, zlib.crc32(view[4 * start : 4 * stop]), task, local))
                     start, k = stop, k + 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+        encode.cache.clear()  # the worker lives on
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    # ids go as strings: a null beside them would make them floats
+    return docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(cut, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, rank_file: str | None = None, pattern: str | None = None, end_id: int = 0) -> DataFrame:
@@ -229,8 +231,8 @@ def pack(docs: DataFrame, capacity: int = 2048, rank_file: str | None = None, pa
             pdf["offset"] = run[:, 5] + slot % np.maximum(run[:, 4], 1) * length
             yield pdf.drop(columns=["task", "local", "base"])
 
-    placed = cut.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "task", "local", "base")
-    return placed.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = cut.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "task", "local", "base").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return placed.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,32 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
 Vectors are dealt into shards of about ``shard_rows`` rows.  A shard's index keeps, for every
-dimension, its rows in order of value, cut into segments of equal quantised value.  A query
+dimension, its rows in order of value, cut into segments of equal quantised value; it is stored
+once, in the shared folder.  A query
 processes the segments of all dimensions by falling quantised impact |weight * level| and adds
 the quantised impact to its accumulators.  After each step, every score is known up to what the
 unprocessed segments and the quantisation can still add; processing stops only when that proves
 all but a few rows to be outside the best k, and the possible members are rescored exactly.  The
-stated query set meets all rows in blocks: one task holds one shard and one block of queries.
+stated query set meets all rows in blocks: a task holds one shard's index and reads the blocks of
+queries from the shared folder one after the other; no vector is shuffled for it.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; an empty vector scores 0 everywhere; rows that share a
 query's id are its own and are no candidates for it; null ids take no part; ties go to the
 smaller id; repeated candidate rows each count, repeated query rows are one query; other columns are ignored; without queries or
-candidates there are no rows.  Scores are exact while they fit into 64 bits.
+candidates there are no rows.  Scores that may not fit into 64 bits raise an error.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_dir, stored, table
+from .common import file_system, shared_dir, stored, table
 
 SHARD_ROWS, QUERY_BLOCK, SHIFT, STEPS = 8192, 256, 3, 12
 
@@ -43,6 +46,9 @@ def matrix(rows: pd.Series) -> np.ndarray:
     return out
 
 
+STORED = ("ids", "rows", "order", "dims", "levels", "starts", "stops")
+
+
 class Index:
     """One shard: rows by value for each dimension, and where each quantised level starts."""
 
@@ -61,6 +67,17 @@ class Index:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.dims, self.levels, self.starts, self.stops = map(join, (dims, levels, starts, stops))
 
+    def packed(self) -> dict:
+        return {n: pickle.dumps(getattr(self, n), 5) for n in STORED}
+
+    @classmethod
+    def unpacked(cls, row) -> Index:
+        index = cls.__new__(cls)
+        for n in STORED:
+            setattr(index, n, pickle.loads(getattr(row, n)))
+        index.wide = index.rows.shape[1]
+        return index
+
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and exact scores of a superset of the k best rows (those not ``own``)."""
         n = len(self.ids)
@@ -105,38 +122,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     shards = max(1, -(-base.count() // shard_rows))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
-    def block(key: str) -> object:
-        def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = matrix(pdf.v)
-            return pd.DataFrame({key: [int(pdf[key].iloc[0])], f"{key}_ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], f"{key}_rows": [m.tobytes()], f"{key}_wide": [m.shape[1]]})
+    # nothing may wrap: the largest products of any two rows, counted over all of them
+    largest = [base.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.max(F.size("v")).alias("n")).first(), asked.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()]
+    if (largest[0].m or 0) * (largest[1].m or 0) * (largest[0].n or 0) >= 2**62:
+        raise ValueError("scores do not fit into 64 bits")
+
+    def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+        return df.withColumn(key, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")).groupBy(key)
 
-        return gather
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({k: [v] for k, v in Index(pdf.vec_id.to_numpy(np.int64), matrix(pdf.v)).packed().items()})
 
-    def blocked(df: DataFrame, key: str, n: int) -> DataFrame:
-        dealt = df.withColumn(key, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-        return dealt.groupBy(key).applyInPandas(block(key), f"{key} int, {key}_ids binary, {key}_rows binary, {key}_wide int")
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = matrix(pdf.v)
+        return pd.DataFrame({"ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], "rows": [m.tobytes()], "wide": [m.shape[1]]})
 
-    held = stored(blocked(base, "shard", shards), f"{at}/shards")
-    wanted = stored(blocked(asked, "part", blocks), f"{at}/parts")
+    index = stored(dealt(base, "shard", shards).applyInPandas(build, ", ".join(f"{n} binary" for n in STORED)), f"{at}/index")
+    parts = f"{at}/parts"
+    stored(dealt(asked, "part", blocks).applyInPandas(block, "ids binary, rows binary, wide int"), parts)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: tuple[int, Index] | None = None
+        from pyarrow import fs as files, parquet
+
+        fs, where = file_system(parts)
+        names = sorted(f.path for f in fs.get_file_info(files.FileSelector(where)) if f.path.endswith(".parquet"))
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if known is None or known[0] != r.shard:
-                    ids = np.frombuffer(r.shard_ids, np.int64)
-                    known = (r.shard, Index(ids, np.frombuffer(r.shard_rows, np.int64).reshape(len(ids), r.shard_wide)))
-                index, out = known[1], []
-                asked_ids = np.frombuffer(r.part_ids, np.int64)
-                for own, q in zip(asked_ids.tolist(), np.frombuffer(r.part_rows, np.int64).reshape(len(asked_ids), r.part_wide), strict=True):
-                    places, scores = index.search(q, own, k)
-                    first = np.lexsort((index.ids[places], -scores))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": index.ids[places[first]], "score": scores[first]}))
-                yield pd.concat(out)
-
-    everywhere = wanted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = held.join(everywhere, "shard").repartition(max(2, min(shards * blocks, 4096)), "shard", "part").sortWithinPartitions("shard")
-    near = met.mapInPandas(search, "query_id long, vec_id long, score long")
+            for shard in pdf.itertuples(index=False):
+                index = Index.unpacked(shard)
+                for name in names:
+                    with fs.open_input_file(name) as f:
+                        for batch in parquet.ParquetFile(f).iter_batches(1):
+                            out = []
+                            for r in batch.to_pylist():
+                                own_ids = np.frombuffer(r["ids"], np.int64)
+                                for own, q in zip(own_ids.tolist(), np.frombuffer(r["rows"], np.int64).reshape(len(own_ids), r["wide"]), strict=True):
+                                    places, scores = index.search(q, own, k)
+                                    first = np.lexsort((index.ids[places], -scores))[:k]
+                                    out.append(pd.DataFrame({"query_id": own, "vec_id": index.ids[places[first]], "score": scores[first]}))
+                            yield pd.concat(out)
+
+    spread = index.repartition(min(shards, 4096))
+    near = spread.mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

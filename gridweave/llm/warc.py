@@ -14,7 +14,8 @@ where it ends in a later one, so ranges need no knowledge of each other and reco
 Defined cases: null html is an empty payload; null urls become an empty target; rows with equal
 page_id are separate records (those that share the smallest page_id of a payload are all
 responses); a null page_id is larger than all others and written as an empty id; an empty table
-gives one empty set of archives; other columns are ignored.
+gives one empty set of archives; other columns are ignored.  Read records of other writers may have
+header bytes that are not UTF-8 (replaced) and ids that are no whole numbers (null).
 """
 
 from __future__ import annotations
@@ -26,22 +27,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, stored, table
+from .common import file_system, shared_dir, stored, table
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST, FILE_BYTES, RANGE_BYTES, CHUNK = 100, 64 << 20, 8 << 20, 1 << 20
 
 
-def file_system(uri: str):
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member of its own."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
@@ -77,8 +68,9 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     path, size, records = f"{folder}/{name}", 0, 0
                     out = fs.open_output_stream(f"{at}/{name}", compression=None)
-                number = "" if page_id is None or page_id != page_id else str(int(page_id))
-                source = None if first is None or first != first or number == str(int(first)) else str(int(first))
+                # ids come as strings: a null beside them would make them floats
+                number = page_id if isinstance(page_id, str) else ""
+                source = first if isinstance(first, str) and first != number else None
                 headers = [("WARC-Type", "revisit" if source is not None else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Target-URI", field(url)), ("Page-ID", number), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Payload-Length", str(len(payload)))]
                 if source is not None:
                     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page", source)]
@@ -93,7 +85,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
             out.close()
             yield pd.DataFrame({"path": [path], "bytes": [size], "records": [records]})
 
-    rows = decided(pages, least).select("page_id", "url", "payload", "digest", "first")
+    rows = decided(pages, least).select(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("first").cast("string"))
     return stored(rows.mapInPandas(archive, "path string, bytes long, records long"), f"{folder}/manifest")
 
 
@@ -120,9 +112,9 @@ def inflate(read, start: int) -> tuple[bytes, int] | None:
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes] | None:
     head, gap, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-    if not gap or not fields.get("Content-Length", "").isdigit():
+    if not gap or not fields.get("Content-Length", "").isdecimal():
         return None
     n = int(fields["Content-Length"])
     return (fields, rest[:n]) if len(rest) >= n else None
@@ -162,8 +154,8 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 with fs.open_input_file(at) as f:
                     rows, held = [], 0
                     for offset, h, payload in records_in(lambda a, n, f=f: f.read_at(n, a), r.start, min(r.start + range_bytes, r.bytes), r.bytes):
-                        number, refers = h.get("Page-ID", ""), h.get("Refers-To-Page")
-                        rows.append((r.path, offset, h.get("WARC-Type"), int(number) if number else None, h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest", "").removeprefix("sha256:"), int(refers) if refers else None, int(h.get("Payload-Length") or len(payload)), payload))
+                        length = whole(h.get("Payload-Length"))
+                        rows.append((r.path, offset, h.get("WARC-Type"), whole(h.get("Page-ID")), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest", "").removeprefix("sha256:"), whole(h.get("Refers-To-Page")), len(payload) if length is None else length, payload))
                         held += len(payload)
                         if held > CHUNK << 3:
                             yield frame(rows)
@@ -176,8 +168,14 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 RECORD = [("path", "string"), ("offset", "long"), ("type", "string"), ("page_id", "long"), ("url", "string"), ("digest", "string"), ("refers_to", "long"), ("payload_bytes", "long"), ("payload", "binary")]
 
 
+def whole(text: str | None) -> int | None:
+    """A header's whole number of 64 bits; none for anything else (archives of other writers)."""
+    return int(text) if text and len(text) < 20 and text.removeprefix("-").isdecimal() and abs(int(text)) < 2**63 else None
+
+
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[n for n, _ in RECORD]).astype({"page_id": "Int64", "refers_to": "Int64", "offset": "int64", "payload_bytes": "int64"})
+    columns = zip(*rows, strict=True) if rows else [()] * len(RECORD)
+    return pd.DataFrame({n: pd.array(list(c), "Int64") if t == "long" else pd.Series(list(c), dtype=object) for (n, t), c in zip(RECORD, columns, strict=True)})
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,25 @@ def test_query_columns(spark, tmp_path):
     assert rows[5].loss_sha256 == hashlib.sha256(b"\\a\n").hexdigest()
 
 
+def test_long_conversation_is_linear(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(20_000)] + [(2, 0, "user", "turn 0"), (2, 1, "assistant", "other")]
+    tree, members = format_chats(spark.createDataFrame(rows, SCHEMA))
+    back = {r.conv_id: r.turns for r in read_back(tree, members).collect()}
+    assert [t.text for t in back[1]] == [r[3] for r in rows[:20_000]] and [t.loss for t in back[2]] == [None, "other"]
+    assert tree.count() == 20_001
+
+
+def test_common_first_turn_and_clashing_columns(spark):
+    rows = [(i, t, "system" if t == 0 else "user", "the same" if t == 0 else f"{i}", "x", 1) for i in range(400) for t in (0, 1)]
+    df = spark.createDataFrame(rows, SCHEMA + ", node string, start int")
+    tree, members = format_chats(df)
+    assert tree.count() == 401 and tree.where("depth = 0").count() == 1
+    root = tree.where("depth = 0").first()
+    assert all(a.attend[0].start == root.start and a.attend[-1].stop == a.start + len(a.token_ids) for a in tree.collect())
+    back = {r.conv_id: [t.text for t in r.turns] for r in read_back(tree, members).collect()}
+    assert back == {i: ["the same", f"{i}"] for i in range(400)}
+
+
 def test_of_nothing(spark):
     tree, members = format_chats(spark.createDataFrame([], SCHEMA))
     assert tree.count() == 0 and read_back(tree, members).count() == 0
