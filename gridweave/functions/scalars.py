@@ -16,8 +16,19 @@ NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Voltage classes in kV and their tolerance brackets, fuel names, operator names.
 VOLTAGE_CLASSES = [500.0, 275.0, 220.0, 187.0, 154.0, 132.0, 110.0, 77.0, 66.0]
 BRACKETS = [500.0, 275.0, 220.0, 187.0, 154.0, 132.0, 110.0, 77.0, 66.0, 33.0, 22.0, 6.6]
-FUELS = {"gas": "lng", "natural_gas": "lng", "lng": "lng", "coal": "coal", "oil": "oil", "diesel": "oil", "nuclear": "nuclear", "hydro": "hydro", "water": "hydro", "solar": "solar", "photovoltaic": "solar", "wind": "wind", "biomass": "biomass", "waste": "biomass", "geothermal": "geothermal"}
-FUEL_KEYWORDS = [("solar", ["solar", "pv", "太陽"]), ("wind", ["wind", "風力"]), ("hydro", ["hydro", "dam", "水力"]), ("nuclear", ["nuclear", "原子力"]), ("geothermal", ["geothermal", "地熱"]), ("coal", ["thermal", "coal", "火力"])]
+# Fuel names of tags, of complementary lists and of the network model; keywords of names in order of precedence.
+FUEL_TAGS = {"coal": "coal", "gas": "gas", "natural_gas": "gas", "oil": "oil", "nuclear": "nuclear", "hydro": "hydro", "water": "hydro", "wind": "wind", "solar": "solar", "photovoltaic": "solar", "biomass": "biomass", "biogas": "biomass", "waste": "waste", "geothermal": "geothermal", "tidal": "tidal", "wave": "tidal", "battery": "battery", "pumped_storage": "pumped_hydro", "diesel": "oil"}
+FUEL_LISTS = {"solar": "solar", "hydro": "hydro", "nuclear": "nuclear", "coal": "coal", "gas": "gas", "wind": "wind", "biomass": "biomass", "oil": "oil", "geothermal": "geothermal", "waste": "waste", "tidal": "tidal", "pumped_hydro": "pumped_hydro", "battery": "battery", "oil;gas": "oil", "waste;solar": "waste"}
+FUEL_MODEL = {"gas": "lng", "natural_gas": "lng", "waste": "biomass", "biofuel": "biomass", "battery": "unknown", "bing": "unknown", "gsimaps/ort": "unknown", "image": "unknown", "biomass_waste": "biomass"}
+FUEL_KEYWORDS = [("nuclear", ["nuclear", "原子力", "原発"]), ("coal", ["coal", "石炭", "火力"]), ("lng", ["lng", "ガス", "gas"]), ("hydro", ["hydro", "水力", "ダム"]), ("wind", ["wind", "風力"]), ("solar", ["solar", "太陽光", "メガソーラー"]), ("geothermal", ["geothermal", "地熱"]), ("biomass", ["biomass", "バイオマス"]), ("oil", ["oil", "石油", "重油"])]
+# Fuel types, and labels that stand for them.
+FUEL_TYPES = ["coal", "lng", "oil", "nuclear", "hydro", "pumped_hydro", "geothermal", "wind", "solar", "biomass", "mixed", "unknown"]
+FUEL_LABELS = {"石炭": "coal", "coal": "coal", "LNG": "lng", "液化天然ガス": "lng", "天然ガス": "lng", "石油": "oil", "重油": "oil", "oil": "oil", "原子力": "nuclear", "nuclear": "nuclear", "水力": "hydro", "hydro": "hydro", "揚水": "pumped_hydro", "pumped_hydro": "pumped_hydro", "地熱": "geothermal", "geothermal": "geothermal", "風力": "wind", "wind": "wind", "太陽光": "solar", "solar": "solar", "バイオマス": "biomass", "biomass": "biomass", "混合": "mixed"}
+# What kind of burning means which thermal fuel, and the words of a name that overrule it.
+BURNING = {"石炭": "coal", "石炭専焼": "coal", "専焼": "coal", "LNG": "gas", "ガス": "gas", "天然ガス": "gas", "石油": "oil", "重油": "oil", "軽油": "oil", "混焼": "mixed", "複合": "mixed"}
+THERMAL_NAMES = [("coal", ["石炭", "Coal"]), ("gas", ["LNG", "ガス"]), ("oil", ["石油", "重油"])]
+# Transformer ratings (from kV on: MVA), highest first.
+TRANSFORMER_MVA = [(275.0, 800.0), (154.0, 400.0), (110.0, 200.0), (0.0, 100.0)]
 
 
 def number(c: Column) -> Column:
@@ -33,14 +44,15 @@ def blank_to_null(c: Column) -> Column:
 def voltage_first(raw: Column, missing: float | None = None) -> Column:
     """kV of the first of ``;``-separated values, commas deleted; values above 1000 are volts."""
     v = number(F.split(F.replace(F.trim(raw), F.lit(","), F.lit("")), ";")[0])
-    kv = F.when(v > 1000, F.round(v / 1000, 1)).when(v > 0, v)
+    kv = F.when(v > 1000, F.round(v / 1000, 1)).when(v > 0, F.round(v, 1))
     return kv if missing is None else F.coalesce(kv, F.lit(missing))
 
 
 def voltage_max(raw: Column) -> Column:
-    """kV of the largest of ``;``- or ``,``-separated values; a leading ``dc`` is dropped; all are volts."""
+    """kV of the largest of ``;``- or ``,``-separated values; a ``dc`` before any of them is dropped; all are volts."""
     parts = F.split(F.regexp_replace(F.lower(F.trim(raw)), "^dc", ""), "[;,]")
-    volts = F.array_max(F.filter(F.transform(parts, number), lambda x: x.isNotNull() & (x > 0)))
+    value = lambda p: number(F.regexp_replace(F.trim(p), "^dc", ""))
+    volts = F.array_max(F.filter(F.transform(parts, value), lambda x: x.isNotNull() & (x > 0)))
     return F.when(volts >= 1000, F.round(volts / 1000, 1)).otherwise(F.round(volts / 1000, 3))
 
 
@@ -61,7 +73,7 @@ def tolerant_class(kv: Column, tolerance: float = 0.15) -> Column:
 def step_bracket(kv: Column, steps: list[float] | None = None) -> Column:
     """The highest step that kV reaches, 0 below all; null counts as 0."""
     out = F.lit(0.0)
-    for s in sorted(steps or [66.0, 110.0, 154.0, 187.0, 220.0, 275.0, 500.0]):
+    for s in sorted(steps or VOLTAGE_CLASSES):
         out = F.when(kv >= s, F.lit(s)).otherwise(out)
     return out
 
@@ -72,12 +84,25 @@ def exact_class(kv: Column) -> Column:
     return F.when(r.isin([float(round(c)) for c in VOLTAGE_CLASSES]), r).otherwise(F.lit(0.0)).cast("int")
 
 
-def capacity_mw(raw: Column, unitless: str = "w") -> Column:
-    """MW from text with gw, mw, kw or w; without a unit, ``w``: 1000 and more are watts; ``kw``: kilowatts."""
+def capacity_found(raw: Column) -> Column:
+    """MW of the first number anywhere in a text, in the kW (also without a unit), MW or GW after it; -1 without one."""
+    pattern = "(?i)([0-9.]+)\\s*(kW|MW|GW)?"
+    v, unit = number(F.regexp_extract(raw, pattern, 1)), F.upper(F.regexp_extract(raw, pattern, 2))
+    return F.coalesce(F.round(F.when(unit == "GW", v * 1000).when(unit == "MW", v).otherwise(v / 1000), 3), F.lit(-1.0))
+
+
+def capacity_plain(raw: Column) -> Column:
+    """MW of a text after `` MW`` and commas are taken out; null unless positive."""
+    v = number(F.replace(F.replace(raw, F.lit(" MW"), F.lit("")), F.lit(","), F.lit("")))
+    return F.when(v > 0, v)
+
+
+def capacity_mw(raw: Column) -> Column:
+    """MW from text with gw, mw, kw or w; without a unit, 1000 and more are watts."""
     t = F.lower(F.replace(F.replace(F.trim(raw), F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
     v = number(F.regexp_extract(t, "^([0-9.]+)(gw|mw|kw|w)?$", 1))
     unit = F.regexp_extract(t, "^([0-9.]+)(gw|mw|kw|w)?$", 2)
-    plain = F.when(v >= 1000, F.round(v / 1e6, 2)).otherwise(F.round(v, 1)) if unitless == "w" else F.round(v / 1000, 3)
+    plain = F.when(v >= 1000, F.round(v / 1e6, 2)).otherwise(F.round(v, 1))
     return F.when(unit == "gw", F.round(v * 1000, 1)).when(unit == "mw", F.round(v, 1)).when(unit == "kw", F.round(v / 1000, 2)).when(unit == "w", F.round(v / 1e6, 3)).otherwise(plain)
 
 
@@ -90,11 +115,39 @@ def lookup(pairs: dict[str, str], key: Column) -> Column:
     return F.create_map(*(F.lit(x) for x in chain(*pairs.items())))[key]
 
 
-def fuel(raw: Column, default: str | None = None) -> Column:
-    """First of ``;``-separated values through the fuel names; unknown ones pass unless ``default`` is given."""
+def fuel_of_tag(raw: Column) -> Column:
+    """First of ``;``-separated values through the names of tags; unknown ones pass, blank is unknown."""
     key = F.lower(F.trim(F.split(raw, ";")[0]))
-    known = lookup(FUELS, key)
-    return F.when(F.coalesce(key, F.lit("")) == "", F.lit("unknown")).otherwise(F.coalesce(known, F.lit(default) if default is not None else key))
+    return F.when(F.coalesce(key, F.lit("")) == "", F.lit("unknown")).otherwise(F.coalesce(lookup(FUEL_TAGS, key), key))
+
+
+def fuel_of_list(raw: Column, default: str | None = "unknown") -> Column:
+    """A whole value (two fuels included) through the names of lists; others get ``default``, or pass if it is None."""
+    key = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    return F.coalesce(lookup(FUEL_LISTS, key), key if default is None else F.lit(default))
+
+
+def fuel_of_model(raw: Column) -> Column:
+    """The model's name of a fuel; names that need no change pass as they are, null is unknown."""
+    c = F.coalesce(raw, F.lit("unknown"))
+    return F.coalesce(lookup(FUEL_MODEL, F.lower(F.trim(c))), c)
+
+
+def fuel_type(raw: Column) -> Column:
+    """A fuel type by its own name in any case, then by a label; else unknown."""
+    own = F.lower(F.trim(raw))
+    return F.when(own.isin(FUEL_TYPES), own).otherwise(F.coalesce(lookup(FUEL_LABELS, raw), F.lit("unknown")))
+
+
+def thermal_fuel(burning: Column, name: Column) -> Column:
+    """The fuel of a thermal plant: gas unless its burning or name says otherwise; some names overrule all."""
+    out = F.lit("gas")
+    for word, kind in reversed(BURNING.items()):
+        out = F.when(F.contains(burning, F.lit(word)) | F.contains(name, F.lit(word)), F.lit(kind)).otherwise(out)
+    for kind, words in reversed(THERMAL_NAMES):
+        for word in words:
+            out = F.when(F.contains(name, F.lit(word)), F.lit(kind)).otherwise(out)
+    return out
 
 
 def fuel_by_keyword(name: Column) -> Column:
@@ -159,16 +212,26 @@ def safe_float(c: Column, default: float = 0.0) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), default).otherwise(F.coalesce(x, F.lit(default)))
 
 
+def _day(hour: float) -> float:
+    bump = lambda at, width, size: size * math.exp(-0.5 * ((hour - at) / width) ** 2)
+    return 0.73 + 0.18 * math.cos(2 * math.pi * (hour - 16) / 24) + bump(10, 3, 0.06) + bump(14, 1.5, 0.18) + bump(18, 1.2, 0.14)
+
+
+def _season(day: int) -> float:
+    return 0.90 + max(0.10 * math.cos(2 * math.pi * (day - peak) / 365) for peak in (30, 210))
+
+
 def daily_shape(hour: Column) -> Column:
-    """Demand over a day before normalisation: a base with morning, midday and evening peaks."""
-    peak = lambda at, width, size: F.lit(size) * F.exp(-F.pow(hour - at, 2) / F.lit(2.0 * width * width))
-    return F.lit(0.6) + peak(9.0, 2.5, 0.25) + peak(14.0, 3.0, 0.3) + peak(19.0, 2.0, 0.35)
+    """Demand over a day, the largest of its 24 hours being 1: a wave with shoulders at 10, 14 and 18."""
+    bump = lambda at, width, size: F.lit(size) * F.exp(F.lit(-0.5) * F.pow((hour - at) / F.lit(width), 2))
+    wave = F.lit(0.73) + F.lit(0.18) * F.cos(F.lit(2 * math.pi) * (hour - 16) / F.lit(24.0))
+    return (wave + bump(10, 3.0, 0.06) + bump(14, 1.5, 0.18) + bump(18, 1.2, 0.14)) / F.lit(max(_day(h) for h in range(24)))
 
 
 def seasonal_shape(day: Column) -> Column:
-    winter = F.lit(0.85) + F.lit(0.15) * F.cos(F.lit(2 * math.pi) * (day - 20) / F.lit(365.0))
-    summer = F.lit(0.8) + F.lit(0.2) * F.cos(F.lit(2 * math.pi) * (day - 215) / F.lit(365.0))
-    return F.greatest(winter, summer)
+    """Demand over a year by day (from 1), the largest being 1: peaks about days 30 and 210."""
+    wave = lambda peak: F.lit(0.10) * F.cos(F.lit(2 * math.pi) * (day - peak) / F.lit(365.0))
+    return (F.lit(0.90) + F.greatest(wave(30), wave(210))) / F.lit(max(map(_season, range(1, 366))))
 
 
 def weekend_factor(hour_of_year: Column) -> Column:
@@ -184,8 +247,9 @@ def tan_phi(power_factor: Column) -> Column:
 
 
 def transformer_mva(hv: Column, tiers: list[tuple[float, float]] | None = None) -> Column:
-    out = F.lit(50.0)
-    for kv, mva in sorted(tiers or [(110.0, 150.0), (220.0, 300.0), (500.0, 1000.0)]):
+    tiers = sorted(tiers or TRANSFORMER_MVA)
+    out = F.lit(tiers[0][1])
+    for kv, mva in tiers[1:]:
         out = F.when(hv >= kv, F.lit(mva)).otherwise(out)
     return out
 

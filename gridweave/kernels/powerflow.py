@@ -75,7 +75,7 @@ def drive(c: Case, step: Callable[[int, np.ndarray, np.ndarray], np.ndarray], to
         history.append(float(np.abs(f).max(initial=0)))
         if not np.isfinite(history[-1]):
             return Result(v, False, k + 1, "not a number", history)
-        if history[-1] > 10 * history[0] and history[-1] > 10:
+        if history[-1] > 10 * history[0]:
             return Result(v, False, k + 1, "diverged", history)
     return Result(v, False, most, "iteration limit", history)
 
@@ -213,7 +213,7 @@ def sweep(relax: float, at_once: bool) -> Callable[[Case, float, int], Result]:
             return new
 
         pv = set(c.pv.tolist())
-        return drive(c, step, tol, most * 50)
+        return drive(c, step, tol, most)
 
     return solve
 
@@ -234,7 +234,7 @@ def decoupled(variant: str) -> Callable[[Case, float, int], Result]:
             f = mismatch(c, v)
             return moved(c, v, np.r_[np.zeros(n), np.linalg.solve(q, -f[n:] / np.abs(v[c.pq]))]) if len(c.pq) else v
 
-        return drive(c, step, tol, most * 5)
+        return drive(c, step, tol, most)
 
     return solve
 
@@ -246,7 +246,7 @@ def newton_decoupled(c: Case, tol: float, most: int) -> Result:
         f = mismatch(c, v)
         return moved(c, v, np.r_[np.zeros(n), np.linalg.solve(jacobian(c, v)[n:, n:], -f[n:])]) if len(c.pq) else v
 
-    return drive(c, step, tol, most * 3)
+    return drive(c, step, tol, most)
 
 
 def continuation(c: Case, tol: float, most: int) -> Result:

@@ -25,17 +25,17 @@ def hav(a: str, b: str, c: str, d: str) -> str:
     return HAV.format(a=x)
 
 
-@query("voltage_parse_first", sql_with("sub") + f", v AS (SELECT sub_id, {num("split_part(replace(trim(voltage), ',', ''), ';', 1)")} AS v FROM sub) SELECT sub_id, CASE WHEN v > 1000 THEN round(v / 1000, 1) WHEN v > 0 THEN v END AS kv FROM v")
+@query("voltage_parse_first", sql_with("sub") + f", v AS (SELECT sub_id, {num("split_part(replace(trim(voltage), ',', ''), ';', 1)")} AS v FROM sub) SELECT sub_id, CASE WHEN v > 1000 THEN round(v / 1000, 1) WHEN v > 0 THEN round(v, 1) END AS kv FROM v")
 def voltage_parse_first(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "sub").select("sub_id", S.voltage_first(F.col("voltage")).alias("kv"))
 
 
-@query("voltage_parse_zero", sql_with("sub") + f", v AS (SELECT sub_id, {num("split_part(replace(trim(voltage), ',', ''), ';', 1)")} AS v FROM sub) SELECT sub_id, coalesce(CASE WHEN v > 1000 THEN round(v / 1000, 1) WHEN v > 0 THEN v END, 0e0) AS kv FROM v")
+@query("voltage_parse_zero", sql_with("sub") + f", v AS (SELECT sub_id, {num("split_part(replace(trim(voltage), ',', ''), ';', 1)")} AS v FROM sub) SELECT sub_id, coalesce(CASE WHEN v > 1000 THEN round(v / 1000, 1) WHEN v > 0 THEN round(v, 1) END, 0e0) AS kv FROM v")
 def voltage_parse_zero(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "sub").select("sub_id", S.voltage_first(F.col("voltage"), 0.0).alias("kv"))
 
 
-@query("voltage_parse_max", sql_with("sub") + f", p AS (SELECT sub_id, unnest(string_split_regex(lower(trim(voltage)), '[;,]')) AS p FROM sub WHERE voltage IS NOT NULL), v AS (SELECT sub_id, max(v) AS v FROM (SELECT sub_id, {num('p')} AS v FROM p) WHERE v > 0 GROUP BY sub_id) SELECT sub.sub_id, CASE WHEN v >= 1000 THEN round(v / 1000, 1) ELSE round(v / 1000, 3) END AS kv FROM sub LEFT JOIN v ON v.sub_id = sub.sub_id")
+@query("voltage_parse_max", sql_with("sub") + f", p AS (SELECT sub_id, regexp_replace(trim(unnest(string_split_regex(regexp_replace(lower(trim(voltage)), '^dc', ''), '[;,]'))), '^dc', '') AS p FROM sub WHERE voltage IS NOT NULL), v AS (SELECT sub_id, max(v) AS v FROM (SELECT sub_id, {num('p')} AS v FROM p) WHERE v > 0 GROUP BY sub_id) SELECT sub.sub_id, CASE WHEN v >= 1000 THEN round(v / 1000, 1) ELSE round(v / 1000, 3) END AS kv FROM sub LEFT JOIN v ON v.sub_id = sub.sub_id")
 def voltage_parse_max(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "sub").select("sub_id", S.voltage_max(F.col("voltage")).alias("kv"))
 
@@ -53,7 +53,10 @@ def voltage_tolerance_class(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "line").select("line_id", S.tolerant_class(F.col("kv") + F.col("km")).alias("class"))
 
 
-@query("voltage_bracket", sql_with("line") + " SELECT line_id, CASE WHEN kv + km >= 500 THEN 500e0 WHEN kv + km >= 275 THEN 275e0 WHEN kv + km >= 220 THEN 220e0 WHEN kv + km >= 187 THEN 187e0 WHEN kv + km >= 154 THEN 154e0 WHEN kv + km >= 110 THEN 110e0 WHEN kv + km >= 66 THEN 66e0 ELSE 0e0 END AS step, CASE WHEN round_even(kv, 0) IN (500, 275, 220, 187, 154, 132, 110, 77, 66) THEN CAST(round_even(kv, 0) AS INTEGER) ELSE 0 END AS exact FROM line")
+STEPS = "CASE " + " ".join(f"WHEN kv + km >= {c} THEN {c}e0" for c in (500, 275, 220, 187, 154, 132, 110, 77, 66)) + " ELSE 0e0 END"
+
+
+@query("voltage_bracket", sql_with("line") + f" SELECT line_id, {STEPS} AS step, CASE WHEN round_even(kv, 0) IN (500, 275, 220, 187, 154, 132, 110, 77, 66) THEN CAST(round_even(kv, 0) AS INTEGER) ELSE 0 END AS exact FROM line")
 def voltage_bracket(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "line").select("line_id", S.step_bracket(F.col("kv") + F.col("km")).alias("step"), S.exact_class(F.col("kv")).alias("exact"))
 
@@ -67,9 +70,15 @@ def capacity_parse_w(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "gen").select("gen_id", S.capacity_mw(F.col("capacity")).alias("mw"))
 
 
-@query("capacity_parse_kw", sql_with("gen") + CAP + f" SELECT gen_id, coalesce({UNITS.format('round(v / 1000, 3)')}, -1e0) AS mw FROM u")
+@query("capacity_parse_kw", sql_with("gen") + ", x AS (SELECT gen_id, regexp_extract(capacity, '(?i)([0-9.]+)\\s*(kW|MW|GW)?', 1) AS v, upper(regexp_extract(capacity, '(?i)([0-9.]+)\\s*(kW|MW|GW)?', 2)) AS u FROM (SELECT gen_id, concat('about ', capacity, ' peak') AS capacity FROM gen)), n AS (SELECT gen_id, u, " + num("v") + " AS v FROM x) SELECT gen_id, coalesce(round(CASE u WHEN 'GW' THEN v * 1000 WHEN 'MW' THEN v ELSE v / 1000 END, 3), -1e0) AS mw FROM n")
 def capacity_parse_kw(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "gen").select("gen_id", F.coalesce(S.capacity_mw(F.col("capacity"), "kw"), F.lit(-1.0)).alias("mw"))
+    text = F.concat(F.lit("about "), F.col("capacity"), F.lit(" peak"))
+    return view(spark, sf, "gen").select("gen_id", S.capacity_found(text).alias("mw"))
+
+
+@query("capacity_parse_plain", sql_with("gen") + ", x AS (SELECT gen_id, replace(replace(capacity, ' MW', ''), ',', '') AS t FROM gen), n AS (SELECT gen_id, " + num("t") + " AS v FROM x) SELECT gen_id, v AS mw FROM n WHERE v > 0")
+def capacity_parse_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "gen").select("gen_id", S.capacity_plain(F.col("capacity")).alias("mw")).where("mw IS NOT NULL")
 
 
 @query("capacity_repair", sql_with("gen") + ", r AS (SELECT gen_id, CASE gen_id % 4 WHEN 0 THEN -1e0 WHEN 1 THEN mw * 1e6 WHEN 2 THEN mw * 1e4 ELSE mw END AS x FROM gen) SELECT gen_id, CASE WHEN x < 0 THEN NULL WHEN x > 1e6 THEN round(x / 1e6, 2) WHEN x > 10000 THEN round(x / 1000, 2) ELSE round(x, 2) END AS mw FROM r")
@@ -78,12 +87,31 @@ def capacity_repair(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "gen").select("gen_id", S.capacity_repaired(x).alias("mw"))
 
 
-FUEL_CASE = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.FUELS.items()) + " END"
+def case(pairs: dict[str, str], of: str) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END"
 
 
-@query("fuel_normalize", sql_with("gen") + f", k AS (SELECT gen_id, lower(trim(split_part(fuel, ';', 1))) AS k FROM gen) SELECT gen_id, CASE WHEN coalesce(k, '') = '' THEN 'unknown' ELSE coalesce({FUEL_CASE.format('k')}, k) END AS pass, CASE WHEN coalesce(k, '') = '' THEN 'unknown' ELSE coalesce({FUEL_CASE.format('k')}, 'other') END AS closed FROM k")
+@query("fuel_normalize", sql_with("gen") + f", k AS (SELECT gen_id, fuel, lower(trim(split_part(fuel, ';', 1))) AS k, lower(trim(coalesce(fuel, ''))) AS w FROM gen) SELECT gen_id, CASE WHEN coalesce(k, '') = '' THEN 'unknown' ELSE coalesce({case(S.FUEL_TAGS, 'k')}, k) END AS tag, coalesce({case(S.FUEL_LISTS, 'w')}, '') AS listed, coalesce({case(S.FUEL_LISTS, 'w')}, 'unknown') AS restored, coalesce({case(S.FUEL_LISTS, 'w')}, w) AS compared, coalesce({case(S.FUEL_MODEL, 'w')}, fuel, 'unknown') AS model FROM k")
 def fuel_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "gen").select("gen_id", S.fuel(F.col("fuel")).alias("pass"), S.fuel(F.col("fuel"), "other").alias("closed"))
+    """The three normalisations, the second with its three defaults."""
+    c = F.col("fuel")
+    return view(spark, sf, "gen").select("gen_id", S.fuel_of_tag(c).alias("tag"), S.fuel_of_list(c, "").alias("listed"), S.fuel_of_list(c).alias("restored"), S.fuel_of_list(c, None).alias("compared"), S.fuel_of_model(c).alias("model"))
+
+
+@query("fuel_type_labels", sql_with("gen") + f", l AS (SELECT gen_id, CASE gen_id % 8 WHEN 0 THEN '石炭' WHEN 1 THEN ' LNG ' WHEN 2 THEN 'LNG' WHEN 3 THEN '揚水' WHEN 4 THEN 'Solar' WHEN 5 THEN '液化天然ガス' WHEN 6 THEN '火力' ELSE 'mixed' END AS l FROM gen) SELECT gen_id, CASE WHEN lower(trim(l)) IN ({', '.join(repr(t) for t in S.FUEL_TYPES)}) THEN lower(trim(l)) ELSE coalesce({case(S.FUEL_LABELS, 'l')}, 'unknown') END AS fuel FROM l")
+def fuel_type_labels(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.expr("CASE gen_id % 8 WHEN 0 THEN '石炭' WHEN 1 THEN ' LNG ' WHEN 2 THEN 'LNG' WHEN 3 THEN '揚水' WHEN 4 THEN 'Solar' WHEN 5 THEN '液化天然ガス' WHEN 6 THEN '火力' ELSE 'mixed' END")
+    return view(spark, sf, "gen").select("gen_id", S.fuel_type(label).alias("fuel"))
+
+
+THERMAL = "CASE " + " ".join(f"WHEN contains(n, '{w}') THEN '{k}'" for k, ws in S.THERMAL_NAMES for w in ws) + " " + " ".join(f"WHEN contains(b, '{w}') OR contains(n, '{w}') THEN '{k}'" for w, k in S.BURNING.items()) + " ELSE 'gas' END"
+
+
+@query("thermal_subclass", sql_with("gen") + f", t AS (SELECT gen_id, CASE gen_id % 6 WHEN 0 THEN '石炭専焼' WHEN 1 THEN '混焼' WHEN 2 THEN '天然ガス' WHEN 3 THEN '軽油' WHEN 4 THEN '重油' ELSE '' END AS b, CASE gen_id % 5 WHEN 0 THEN 'Coal One' WHEN 1 THEN '新LNG発電所' WHEN 2 THEN '石油火力' ELSE label END AS n FROM gen) SELECT gen_id, {THERMAL} AS fuel FROM t")
+def thermal_subclass(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.expr("CASE gen_id % 6 WHEN 0 THEN '石炭専焼' WHEN 1 THEN '混焼' WHEN 2 THEN '天然ガス' WHEN 3 THEN '軽油' WHEN 4 THEN '重油' ELSE '' END")
+    n = F.expr("CASE gen_id % 5 WHEN 0 THEN 'Coal One' WHEN 1 THEN '新LNG発電所' WHEN 2 THEN '石油火力' ELSE label END")
+    return view(spark, sf, "gen").select("gen_id", S.thermal_fuel(b, n).alias("fuel"))
 
 
 @query("fuel_by_keyword", sql_with("gen") + ", l AS (SELECT gen_id, lower(label) AS l FROM gen) SELECT gen_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(l, '{w}')" for w in ws) + f" THEN '{c}'" for c, ws in S.FUEL_KEYWORDS) + " ELSE 'unknown' END AS fuel FROM l")
@@ -233,7 +261,7 @@ def per_unit_branches(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "line").select("line_id", p.alias("p")).select("line_id", F.round("p.r", 8).alias("r"), F.round("p.x", 8).alias("x"))
 
 
-@query("electrical_scalars", sql_with("line") + " SELECT line_id, round((1e0 + km) * 1e-6 / (2 * pi() * 50) * 1e9, 6) AS nf, round(tan(acos(0.8e0 + km / 200e0)), 6) AS tan_phi, CASE WHEN kv >= 500 THEN 1000e0 WHEN kv >= 220 THEN 300e0 WHEN kv >= 110 THEN 150e0 ELSE 50e0 END AS mva, least(greatest(km, 2e0), 20e0) AS clamped, CASE WHEN mva >= 100 THEN 'red' WHEN mva >= 80 THEN 'orange' WHEN mva >= 50 THEN 'yellow' ELSE 'green' END AS color, round(km * 24 * 5 * 80 / 1048576e0, 6) AS mb FROM line")
+@query("electrical_scalars", sql_with("line") + " SELECT line_id, round((1e0 + km) * 1e-6 / (2 * pi() * 50) * 1e9, 6) AS nf, round(tan(acos(0.8e0 + km / 200e0)), 6) AS tan_phi, CASE WHEN kv >= 275 THEN 800e0 WHEN kv >= 154 THEN 400e0 WHEN kv >= 110 THEN 200e0 ELSE 100e0 END AS mva, least(greatest(km, 2e0), 20e0) AS clamped, CASE WHEN mva >= 100 THEN 'red' WHEN mva >= 80 THEN 'orange' WHEN mva >= 50 THEN 'yellow' ELSE 'green' END AS color, round(km * 24 * 5 * 80 / 1048576e0, 6) AS mb FROM line")
 def electrical_scalars(spark: SparkSession, sf: str) -> DataFrame:
     x = view(spark, sf, "line")
     return x.select("line_id", F.round(S.capacitance_nf(1.0 + F.col("km"), 50.0), 6).alias("nf"), F.round(S.tan_phi(0.8 + F.col("km") / 200.0), 6).alias("tan_phi"), S.transformer_mva(F.col("kv")).alias("mva"), S.clamp(F.col("km"), 2.0, 20.0).alias("clamped"), S.loading_color(F.col("mva")).alias("color"), F.round(S.problem_mb(F.col("km"), F.lit(24)), 6).alias("mb"))

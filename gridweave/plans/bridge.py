@@ -35,6 +35,16 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("kv", "CASE o_orderkey % 5 WHEN 0 THEN 500e0 WHEN 1 THEN 275e0 WHEN 2 THEN 154e0 WHEN 3 THEN 66e0 ELSE 187e0 END"),
         ("km", "CAST(o_orderkey % 97 AS DOUBLE) / 4e0"), ("mva", "CAST(o_custkey % 400 AS DOUBLE)"), ("status", "o_orderstatus"), ("region", "o_orderkey % 10"),
     ]),
+    "link": ("supplier", [
+        ("link_id", "s_suppkey"), ("a", "s_suppkey"),
+        ("b", "CASE s_nationkey % 4 WHEN 0 THEN s_suppkey + 1 WHEN 1 THEN s_suppkey + 7 WHEN 2 THEN s_suppkey - s_suppkey % 5 ELSE s_suppkey END"),
+    ]),
+    "way": ("orders", [
+        ("way_id", "o_orderkey"), ("region", "o_orderkey % 10"), ("name", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('Way ', CAST(o_orderkey % 500 AS STRING)) END"),
+        ("lat1", "33e0 + CAST((o_orderkey * 7919) % 4001 AS DOUBLE) / 1e3"), ("lon1", "130e0 + CAST((o_orderkey * 10473) % 4003 AS DOUBLE) / 1e3"),
+        ("lat2", "33e0 + CAST((o_custkey * 6151) % 4007 AS DOUBLE) / 1e3"), ("lon2", "130e0 + CAST((o_orderkey * 10473 + o_custkey) % 4003 AS DOUBLE) / 1e3"),
+        ("kv", "CASE o_orderkey % 7 WHEN 0 THEN 500e0 WHEN 1 THEN 275e0 WHEN 2 THEN 154e0 WHEN 3 THEN 66e0 WHEN 4 THEN 187e0 WHEN 5 THEN 100e0 ELSE 33e0 END"),
+    ]),
     "load": ("events", [
         ("event_id", "event_id"), ("ts", "ts"), ("sub_id", "user_id % 100"), ("kind", "event_type"), ("mw", "value"),
     ]),

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import voltage_max
 from ..operators.spatial import nearest
-from . import attributes, commitment, network, repair, telemetry  # noqa: F401  register their queries
+from . import attributes, commitment, model, network, repair, telemetry  # noqa: F401  register their queries
 from .bridge import sql_with, view
 from .attributes import NEAR, PLANAR, num
 from .registry import QUERIES, SQL, Query, query
 
 FLAGSHIP_SQL = (
     sql_with("gen", "sub")
-    + f", v AS (SELECT sub_id, max(v) AS v FROM (SELECT sub_id, {num('p')} AS v FROM (SELECT sub_id, unnest(string_split_regex(lower(trim(voltage)), '[;,]')) AS p FROM sub WHERE voltage IS NOT NULL)) WHERE v > 0 GROUP BY sub_id), n AS ("
+    + f", v AS (SELECT sub_id, max(v) AS v FROM (SELECT sub_id, {num('p')} AS v FROM (SELECT sub_id, regexp_replace(trim(unnest(string_split_regex(regexp_replace(lower(trim(voltage)), '^dc', ''), '[;,]'))), '^dc', '') AS p FROM sub WHERE voltage IS NOT NULL)) WHERE v > 0 GROUP BY sub_id), n AS ("
     + NEAR.format(d=PLANAR, m=50).removeprefix(", ").replace("p AS", "WITH p AS", 1)
     + ") SELECT gen.region, CASE WHEN v >= 1000 THEN round(v / 1000, 1) ELSE round(v / 1000, 3) END AS kv, count(*) AS generators, round(sum(mw), 3) AS mw FROM gen JOIN n ON n.gen_id = gen.gen_id LEFT JOIN v ON v.sub_id = n.sub_id GROUP BY 1, 2"
 )

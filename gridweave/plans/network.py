@@ -15,13 +15,13 @@ def _buses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The sparse part of the network: lines whose ends exist."""
+    """All links whose ends exist and differ."""
     ids = view(spark, sf, "sub").select("sub_id")
-    e = view(spark, sf, "line").where("km < 0.2 AND mva < 120").select(F.col("from_sub").alias("a"), F.col("to_sub").alias("b"))
+    e = view(spark, sf, "link").select("a", "b")
     return e.join(ids.withColumnRenamed("sub_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("sub_id", "b"), "b", "left_semi").where("a <> b")
 
 
-EDGES = ", e AS (SELECT from_sub AS a, to_sub AS b FROM line WHERE km < 0.2e0 AND mva < 120 AND from_sub <> to_sub AND from_sub IN (SELECT sub_id FROM sub) AND to_sub IN (SELECT sub_id FROM sub))"
+EDGES = ", e AS (SELECT a, b FROM link WHERE a <> b AND a IN (SELECT sub_id FROM sub) AND b IN (SELECT sub_id FROM sub))"
 COMPONENTS = EDGES + ", r(id, o) AS (SELECT sub_id, sub_id FROM sub UNION SELECT r.id, u.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) u ON u.a = r.o), c AS (SELECT id, min(o) AS component FROM r GROUP BY id)"
 
 
@@ -54,10 +54,10 @@ def orphan_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_bus_join(spark, sf).where("dropped").select("line_id")
 
 
-@query("isolated_buses", sql_with("line", "sub") + " SELECT sub_id FROM sub WHERE sub_id NOT IN (SELECT from_sub FROM line WHERE km < 0.2e0 AND mva < 120 UNION SELECT to_sub FROM line WHERE km < 0.2e0 AND mva < 120)")
+@query("isolated_buses", sql_with("link", "sub") + EDGES + " SELECT sub_id FROM sub WHERE sub_id NOT IN (SELECT a FROM e UNION SELECT b FROM e)")
 def isolated_buses(spark: SparkSession, sf: str) -> DataFrame:
-    e = view(spark, sf, "line").where("km < 0.2 AND mva < 120")
-    ends = e.select(F.col("from_sub").alias("sub_id")).union(e.select(F.col("to_sub").alias("sub_id"))).distinct()
+    e = _edges(spark, sf)
+    ends = e.select(F.col("a").alias("sub_id")).union(e.select(F.col("b").alias("sub_id"))).distinct()
     return view(spark, sf, "sub").select("sub_id").join(ends, "sub_id", "left_anti")
 
 
@@ -84,10 +84,13 @@ def undirected_pair_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return x.join(x.groupBy("a", "b").agg(F.min("line_id").alias("first")), ["a", "b"]).select("line_id", "first", (F.col("first") != F.col("line_id")).alias("shared"), (F.col("from_sub") > F.col("to_sub")).alias("reversed"))
 
 
-@query("coordinate_hash_join", sql_with("sub", "gen") + " SELECT gen_id, max(sub.sub_id) AS sub_id FROM gen JOIN sub ON printf('%.1f,%.1f', gen.lat, gen.lon) = printf('%.1f,%.1f', sub.lat, sub.lon) GROUP BY gen_id")
+@query("coordinate_hash_join", sql_with("sub") + " SELECT g.sub_id AS from_id, max(sub.sub_id) AS sub_id FROM sub g JOIN sub ON printf('%.4f,%.4f', g.lat, g.lon + CASE WHEN g.sub_id % 3 = 0 THEN 0.00003e0 ELSE 0.001e0 END) = printf('%.4f,%.4f', sub.lat, sub.lon) GROUP BY g.sub_id")
 def coordinate_hash_join(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.format_string("%.1f,%.1f", "lat", "lon").alias("k")
-    return view(spark, sf, "gen").select("gen_id", k).join(view(spark, sf, "sub").select(k, "sub_id"), "k").groupBy("gen_id").agg(F.max("sub_id").alias("sub_id"))
+    """Equal positions to four decimals; of several the last one read, which is the one of the largest number, wins."""
+    sub = view(spark, sf, "sub")
+    near = F.col("lon") + F.expr("CASE WHEN sub_id % 3 = 0 THEN 0.00003e0 ELSE 0.001e0 END")
+    k = sub.select(F.format_string("%.4f,%.4f", "lat", "lon").alias("k"), "sub_id")
+    return sub.select(F.col("sub_id").alias("from_id"), F.format_string("%.4f,%.4f", F.col("lat"), near).alias("k")).join(k, "k").groupBy("from_id").agg(F.max("sub_id").alias("sub_id"))
 
 
 @query("maintenance_interval_join", sql_with("gen") + ", w AS (SELECT gen_id, gen_id % 20 AS s, gen_id % 20 + up AS e FROM gen) SELECT gen_id, CAST(t AS INTEGER) AS t FROM w JOIN range(24) h(t) ON s <= t AND t < e")
@@ -212,13 +215,18 @@ def annual_profile(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "run").groupBy(F.month("day").alias("month"), F.dayofweek("day").isin(1, 7).alias("weekend")).agg(F.count("*").alias("n"), F.round(F.avg("mw"), 6).alias("mean"), F.max("mw").alias("peak"), F.min("mw").alias("valley"), F.round(100.0 * F.avg("mw") / F.max("mw"), 4).alias("load_factor"))
 
 
-@query("load_curve_8760", "WITH h AS (SELECT range AS h FROM range(8760)), d AS (SELECT h, 0.6e0 + 0.25e0 * exp(-pow(h % 24 - 9, 2) / 12.5e0) + 0.3e0 * exp(-pow(h % 24 - 14, 2) / 18e0) + 0.35e0 * exp(-pow(h % 24 - 19, 2) / 8e0) AS d, greatest(0.85e0 + 0.15e0 * cos(2 * pi() * (h // 24 - 20) / 365e0), 0.8e0 + 0.2e0 * cos(2 * pi() * (h // 24 - 215) / 365e0)) AS s, CASE WHEN (h // 24) % 7 >= 5 THEN 0.9e0 ELSE 1e0 END AS w FROM h) SELECT CAST(h AS BIGINT) AS h, round(greatest(d * s * w / (SELECT max(d * s * w) FROM d), 0.01e0), 6) AS multiplier FROM d")
+CURVE = "WITH h AS (SELECT range AS h FROM range(8760)), d AS (SELECT h, 0.73e0 + 0.18e0 * cos(2 * pi() * (h % 24 - 16) / 24e0) + 0.06e0 * exp(-0.5e0 * pow((h % 24 - 10) / 3e0, 2)) + 0.18e0 * exp(-0.5e0 * pow((h % 24 - 14) / 1.5e0, 2)) + 0.14e0 * exp(-0.5e0 * pow((h % 24 - 18) / 1.2e0, 2)) AS d, 0.9e0 + greatest(0.1e0 * cos(2 * pi() * (h // 24 % 365 + 1 - 30) / 365e0), 0.1e0 * cos(2 * pi() * (h // 24 % 365 + 1 - 210) / 365e0)) AS s, CASE WHEN (h // 24) % 7 >= 5 THEN 0.9e0 ELSE 1e0 END AS w FROM h)"
+
+
+@query("load_curve_8760", CURVE + " SELECT CAST(h AS BIGINT) AS h, round(d / (SELECT max(d) FROM d), 6) AS daily, round(s / (SELECT max(s) FROM d), 6) AS seasonal, round(d * s * w / (SELECT max(d * s * w) FROM d), 6) AS multiplier FROM d")
 def load_curve_8760(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.scalars import daily_shape, seasonal_shape, weekend_factor
 
     h = spark.range(8760).withColumnRenamed("id", "h")
-    x = h.withColumn("x", daily_shape(F.col("h") % 24) * seasonal_shape(F.floor(F.col("h") / 24)) * weekend_factor(F.col("h")))
-    return x.crossJoin(F.broadcast(x.agg(F.max("x").alias("m")))).select("h", F.round(F.greatest(F.col("x") / F.col("m"), F.lit(0.01)), 6).alias("multiplier"))  # one row
+    x = h.withColumns({"daily": daily_shape(F.col("h") % 24), "seasonal": seasonal_shape(F.floor(F.col("h") / 24) % 365 + 1)})
+    x = x.withColumn("x", F.col("daily") * F.col("seasonal") * weekend_factor(F.col("h")))
+    one = F.broadcast(x.agg(F.max("x").alias("m")))  # one row
+    return x.crossJoin(one).select("h", F.round("daily", 6).alias("daily"), F.round("seasonal", 6).alias("seasonal"), F.round(F.col("x") / F.col("m"), 6).alias("multiplier"))
 
 
 @query("topn_loading", sql_with("line") + " SELECT line_id, mva FROM line ORDER BY mva DESC, line_id LIMIT 20")
@@ -226,10 +234,13 @@ def topn_loading(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "line").select("line_id", "mva").orderBy(F.desc("mva"), "line_id").limit(20)
 
 
-@query("slack_choice", sql_with("gen", "sub") + ", r AS (SELECT sub.region, sub.sub_id, row_number() OVER (PARTITION BY sub.region ORDER BY coalesce(mw, -1) DESC, sub.sub_id, gen_id) AS k FROM sub LEFT JOIN gen ON gen.sub_id = sub.sub_id) SELECT region, sub_id FROM r WHERE k = 1")
+@query("slack_choice", sql_with("gen", "sub") + ", r AS (SELECT sub.region, sub.sub_id, row_number() OVER (PARTITION BY sub.region ORDER BY CASE WHEN sub.sub_id % 17 = 3 THEN 0 WHEN mw IS NOT NULL THEN 1 ELSE 2 END, CASE WHEN sub.sub_id % 17 = 3 THEN 0 ELSE -coalesce(mw, 0) END, sub.sub_id, gen_id) AS k FROM sub LEFT JOIN gen ON gen.sub_id = sub.sub_id) SELECT region, sub_id FROM r WHERE k = 1")
 def slack_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """A bus marked as slack first, then the bus of the largest connected unit, then the first bus."""
     x = view(spark, sf, "sub").select("region", "sub_id").join(view(spark, sf, "gen").select("sub_id", "mw"), "sub_id", "left")
-    return x.groupBy("region").agg(F.min_by("sub_id", F.struct(-F.coalesce("mw", F.lit(-1.0)), F.col("sub_id"))).alias("sub_id"))
+    marked = F.col("sub_id") % 17 == 3
+    rank = F.struct(F.when(marked, 0).when(F.col("mw").isNotNull(), 1).otherwise(2), F.when(marked, 0.0).otherwise(-F.coalesce("mw", F.lit(0.0))), F.col("sub_id"))
+    return x.groupBy("region").agg(F.min_by("sub_id", rank).alias("sub_id"))
 
 
 @query("merge_regions_dedup", sql_with("sub", "gen") + ", u AS (SELECT sub_id AS id, 0 AS o, region FROM sub UNION ALL SELECT gen_id % 500, 1 + gen_id, region FROM gen) SELECT id, arg_min(region, o) AS region, count(*) AS copies FROM u GROUP BY id")
@@ -243,17 +254,17 @@ def offset_stack(spark: SparkSession, sf: str) -> DataFrame:
     return R.stacked(view(spark, sf, "sub").select("sub_id", "region"), "region", "sub_id").select("sub_id", "region", "bus")
 
 
-@query("connected_components", recursive("line", "sub") + COMPONENTS + " SELECT id, component FROM c")
+@query("connected_components", recursive("link", "sub") + COMPONENTS + " SELECT id, component FROM c")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.connected_components(_buses(spark, sf), _edges(spark, sf))
 
 
-@query("largest_component", recursive("line", "sub") + COMPONENTS + ", z AS (SELECT component, count(*) AS n FROM c GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM c WHERE component = (SELECT component FROM z)")
+@query("largest_component", recursive("link", "sub") + COMPONENTS + ", z AS (SELECT component, count(*) AS n FROM c GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM c WHERE component = (SELECT component FROM z)")
 def largest_component(spark: SparkSession, sf: str) -> DataFrame:
     return graph.main_component(connected_components(spark, sf)).select("id")
 
 
-@query("reconnect_isolated", recursive("line", "sub") + COMPONENTS + ", z AS (SELECT component, count(*) AS n FROM c GROUP BY component ORDER BY n DESC, component LIMIT 1), m AS (SELECT id, component = (SELECT component FROM z) AS main FROM c), p AS (SELECT a.id AS from_id, b.id AS to_id, round(2 * 6371e0 * atan2(sqrt(h), sqrt(1 - h)), 6) AS km FROM (SELECT x.id, y.id AS bid, pow(sin((radians(t.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2) AS h FROM m x JOIN sub s ON s.sub_id = x.id JOIN m y ON NOT x.main AND y.main JOIN sub t ON t.sub_id = y.id) a JOIN m b ON b.id = a.bid), nn AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY km, to_id) AS k FROM p WHERE km <= 200) SELECT from_id, to_id, km FROM nn WHERE k = 1")
+@query("reconnect_isolated", recursive("link", "sub") + COMPONENTS + ", z AS (SELECT component, count(*) AS n FROM c GROUP BY component ORDER BY n DESC, component LIMIT 1), m AS (SELECT id, component = (SELECT component FROM z) AS main FROM c), p AS (SELECT a.id AS from_id, b.id AS to_id, round(2 * 6371e0 * atan2(sqrt(h), sqrt(1 - h)), 6) AS km FROM (SELECT x.id, y.id AS bid, pow(sin((radians(t.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2) AS h FROM m x JOIN sub s ON s.sub_id = x.id JOIN m y ON NOT x.main AND y.main JOIN sub t ON t.sub_id = y.id) a JOIN m b ON b.id = a.bid), nn AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY km, to_id) AS k FROM p WHERE km <= 200) SELECT from_id, to_id, km FROM nn WHERE k = 1")
 def reconnect_isolated(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reconnect(_buses(spark, sf), connected_components(spark, sf), 200.0)
 

@@ -21,7 +21,7 @@ def main_ids(spark: SparkSession, sf: str) -> DataFrame:
     return graph.main_component(graph.connected_components(_buses(spark, sf), _edges(spark, sf))).select("id")
 
 
-@query("deactivate_isolated", recursive("line", "sub", "gen") + MAIN + " SELECT 'bus' AS kind, sub_id AS id, sub_id IN (SELECT id FROM m) AS in_service FROM sub UNION ALL SELECT 'line', line_id, from_sub IN (SELECT id FROM m) AND to_sub IN (SELECT id FROM m) FROM line UNION ALL SELECT 'gen', gen_id, coalesce(sub_id, -1) IN (SELECT id FROM m) FROM gen")
+@query("deactivate_isolated", recursive("line", "link", "sub", "gen") + MAIN + " SELECT 'bus' AS kind, sub_id AS id, sub_id IN (SELECT id FROM m) AS in_service FROM sub UNION ALL SELECT 'line', line_id, from_sub IN (SELECT id FROM m) AND to_sub IN (SELECT id FROM m) FROM line UNION ALL SELECT 'gen', gen_id, coalesce(sub_id, -1) IN (SELECT id FROM m) FROM gen")
 def deactivate_isolated(spark: SparkSession, sf: str) -> DataFrame:
     m = main_ids(spark, sf)
     flag = lambda df, key, kind, *on: _flagged(df, m, key, kind, on)
@@ -37,14 +37,14 @@ def _flagged(df: DataFrame, m: DataFrame, key: str, kind: str, on: tuple[str, ..
     return df.select(F.lit(kind).alias("kind"), F.col("_id").alias("id"), ok.alias("in_service"))
 
 
-@query("simplify_network", recursive("line", "sub") + MAIN + " SELECT line_id, from_sub, to_sub FROM line WHERE from_sub IN (SELECT id FROM m) AND to_sub IN (SELECT id FROM m) AND from_sub <> to_sub AND km > 0")
+@query("simplify_network", recursive("line", "link", "sub") + MAIN + " SELECT line_id, from_sub, to_sub FROM line WHERE from_sub IN (SELECT id FROM m) AND to_sub IN (SELECT id FROM m) AND from_sub <> to_sub AND km > 0")
 def simplify_network(spark: SparkSession, sf: str) -> DataFrame:
     m = main_ids(spark, sf)
     x = view(spark, sf, "line").where("from_sub <> to_sub AND km > 0").select("line_id", "from_sub", "to_sub")
     return x.join(m.withColumnRenamed("id", "from_sub"), "from_sub", "left_semi").join(m.withColumnRenamed("id", "to_sub"), "to_sub", "left_semi").select("line_id", "from_sub", "to_sub")
 
 
-@query("unsupplied_buses", recursive("line", "sub") + COMPONENTS + ", x AS (SELECT DISTINCT component FROM c WHERE id % 10 = 0) SELECT id FROM c WHERE component NOT IN (SELECT component FROM x)")
+@query("unsupplied_buses", recursive("link", "sub") + COMPONENTS + ", x AS (SELECT DISTINCT component FROM c WHERE id % 10 = 0) SELECT id FROM c WHERE component NOT IN (SELECT component FROM x)")
 def unsupplied_buses(spark: SparkSession, sf: str) -> DataFrame:
     c = graph.connected_components(_buses(spark, sf), _edges(spark, sf))
     return c.join(c.where("id % 10 = 0").select("component").distinct(), "component", "left_anti").select("id")
@@ -90,7 +90,7 @@ def storage_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "run").groupBy("unit").agg(F.round(F.sum(F.when(F.col("ok"), F.col("mw")).otherwise(0.0)), 6).alias("charge"), F.round(F.sum(F.when(F.col("ok"), 0.0).otherwise(F.col("mw"))) / 100.0, 6).alias("cycles"))
 
 
-@query("transformer_lines", sql_with("line", "sub") + " SELECT line_id, CASE WHEN greatest(f.kv, t.kv) >= 500 THEN 1000e0 WHEN greatest(f.kv, t.kv) >= 220 THEN 300e0 WHEN greatest(f.kv, t.kv) >= 110 THEN 150e0 ELSE 50e0 END AS mva FROM line JOIN sub f ON f.sub_id = from_sub JOIN sub t ON t.sub_id = to_sub WHERE least(f.kv, t.kv) > 0 AND greatest(f.kv, t.kv) / least(f.kv, t.kv) >= 1.5e0")
+@query("transformer_lines", sql_with("line", "sub") + " SELECT line_id, CASE WHEN greatest(f.kv, t.kv) >= 275 THEN 800e0 WHEN greatest(f.kv, t.kv) >= 154 THEN 400e0 WHEN greatest(f.kv, t.kv) >= 110 THEN 200e0 ELSE 100e0 END AS mva FROM line JOIN sub f ON f.sub_id = from_sub JOIN sub t ON t.sub_id = to_sub WHERE least(f.kv, t.kv) > 0 AND greatest(f.kv, t.kv) / least(f.kv, t.kv) >= 1.5e0")
 def transformer_lines(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.scalars import transformer_mva
 

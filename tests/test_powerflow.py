@@ -21,7 +21,7 @@ def test_methods_agree(name):
     c = three_buses()
     want = K.newton(c, 1e-10, 20)
     assert want.converged and want.iterations <= 5
-    got = K.method(name).solve(c, 1e-8, 20)
+    got = K.method(name).solve(c, 1e-8, 2000)  # the simple iterations need hundreds
     assert got.converged, (name, got.reason, got.history[-3:])
     assert np.abs(got.v - want.v).max() < 1e-5
 
