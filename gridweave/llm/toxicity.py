@@ -10,8 +10,8 @@ texts.
 
 The index holds each term's postings in order of blocks of examples (as an array over all examples
 where they are many), with the term's largest weight in each block.  A query leaves out the terms whose postings are long for what they weigh, up to a
-rest of length ``SLACK``, which bounds what they can add.  It visits the block of the highest upper
-bound first, then all blocks that can still hold one of the k best; what an example has, plus the
+rest of length ``SLACK``, which bounds what they can add.  It visits the blocks of high upper
+bounds first, then the others that can still hold one of the k best; what an example has, plus the
 rest, decides whether its cosine is computed in full from its own vector.  So the k nearest are
 exact (ties to the smaller doc_id).  Their votes, weighted by similarity, are calibrated by a
 logistic fit to leave-one-out votes of the examples.
@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ PER_CLASS, MIN_DOCS, POWER, K, BLOCK, SLACK = 4096, 2, 1.5, 15, 1024, 0.01
 CACHE_ENTRIES = 20_000
 #: Rows of which the best one counts when a threshold is sought.
 GROUP = 16
+#: Blocks whose bound is at least this share of the highest one are visited first, together.
+FIRST = 0.25
 #: From this share of the examples on, a term's postings are an array.
 OFTEN = 0.03
 #: More than single precision can be off by.
@@ -57,8 +60,12 @@ def words_of(text: str | None) -> Counter:
 
 def vector(text: str | None, number: dict[str, int]) -> Pair:
     """The numbers of a text's terms, ascending, and their counts."""
-    held = sorted((number[t], n) for t, n in words_of(text).items() if t in number)
-    return np.array([t for t, _ in held], np.int64), np.array([n for _, n in held], float)
+    found = words_of(text)
+    terms = np.fromiter(map(number.get, found, repeat(-1)), np.int64, len(found))
+    n = np.fromiter(found.values(), float, len(found))
+    turn = np.argsort(terms)
+    turn = turn[np.searchsorted(terms[turn], 0) :]
+    return terms[turn], n[turn]
 
 
 def pair_of(vector: dict[int, float] | Pair) -> Pair:
@@ -87,10 +94,9 @@ class BlockMaxIndex:
         self.terms = np.concatenate([pairs[i][0] for i in order] + [np.zeros(0, np.int32)]).astype(np.int32)
         self.weights = np.concatenate([pairs[i][1] for i in order] + [np.zeros(0)])
         self.wide = terms
-        self.build()
 
     def build(self) -> None:
-        """The postings, from the examples' own vectors."""
+        """The postings, from the examples' own vectors; made where they are first searched, not in the driver."""
         blocks = max(1, -(-len(self.ids) // BLOCK))
         row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))
         turn = np.argsort(self.terms, kind="stable")  # rows ascend within a term
@@ -115,13 +121,14 @@ class BlockMaxIndex:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.build()
 
     def nearest(self, query: dict[int, float] | Pair, k: int, skip: int | None = None) -> list[tuple[float, int, float]]:
         """(similarity, doc_id, label) of the k most similar examples with a common term."""
         terms, weights = pair_of(query)
         if not len(terms) or not len(self.ids):
             return []
+        if not hasattr(self, "rows"):
+            self.build()
         whole = np.zeros(self.wide)
         whole[terms] = weights
         cheap = np.argsort(weights**2 / (1 + np.minimum(self.df[terms], GROUP * GROUP)), kind="stable")
@@ -134,8 +141,8 @@ class BlockMaxIndex:
         often = self.place[at] >= 0
         base = w[often] @ self.full[self.place[at[often]]]
         at, w = at[~often], w[~often]
-        order = np.argsort(-bound, kind="stable")
-        for part in (order[:1], order[1:]):
+        high = bound >= FIRST * bound.max()
+        for part in (np.flatnonzero(high), np.flatnonzero(~high)):
             least = -best[-1][0] if len(best) == k else 0.0
             part = part[bound[part] >= least]
             if not len(part):
@@ -169,11 +176,16 @@ class BlockMaxIndex:
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton steps of a ridge-penalised logistic regression; the last coefficient is the constant."""
-    x = np.c_[x, np.ones(len(x))]
-    b, pen = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    wide = x.shape[1] + 1
+    b, pen = np.zeros(wide), np.r_[np.full(wide - 1, ridge), 1e-6]
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pen + 1e-9), x.T @ (weight * (y - p)) - pen * b)
+        curve, slope = np.diag(pen + 1e-9), -pen * b
+        for i in range(0, len(x), 512):  # the rows may be many and in single precision
+            part = np.c_[x[i : i + 512], np.ones(len(x[i : i + 512]))].astype(float)
+            p, w = 1 / (1 + np.exp(-np.clip(part @ b, -30, 30))), weight[i : i + 512]
+            curve += (part * (w * p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (w * (y[i : i + 512] - p))
+        step = np.linalg.solve(curve, slope)
         b += step
         if np.abs(step).max() < 1e-8:
             break
