@@ -95,10 +95,13 @@ def solve(units: DataFrame, demand: DataFrame, reserve: float = 0.05) -> DataFra
 
 
 def merged_status(results: DataFrame) -> DataFrame:
-    """One row: total cost and Optimal if all are, Infeasible if any is, else Feasible."""
+    """One row: Optimal if all are, Infeasible or Unbounded if any is, else the first other status; no cost without all parts' costs."""
     one = results.groupBy("region").agg(F.first("status").alias("status"), F.first("cost").alias("cost"), F.first("bound").alias("bound"))
-    status = F.when(F.bool_or(F.col("status") == "Infeasible"), "Infeasible").when(F.bool_and(F.col("status") == "Optimal"), "Optimal").otherwise("Feasible")
-    return one.agg(status.alias("status"), F.sum("cost").alias("cost"), F.sum("bound").alias("bound"), F.count("*").alias("regions"))
+    has = lambda s: F.bool_or(F.col("status") == s)
+    first = F.min(F.when(F.col("status") != "Optimal", F.struct("region", "status")))["status"]
+    status = F.when(F.bool_and(F.col("status") == "Optimal"), "Optimal").when(has("Infeasible"), "Infeasible").when(has("Unbounded"), "Unbounded").otherwise(first)
+    cost = F.when(F.bool_and(F.col("cost").isNotNull() & ~F.isnan("cost")), F.sum("cost"))
+    return one.agg(status.alias("status"), cost.alias("cost"), F.sum("bound").alias("bound"), F.count("*").alias("regions"))
 
 
 def tier(cores: int, memory_gb: float) -> dict:

@@ -79,3 +79,15 @@ def test_summary_counts_regions(spark):
     got = C.solve(units, demand)
     assert got.select("unit").distinct().count() == 120
     assert C.merged_status(got).first().regions == 2
+
+
+def test_merged_status(spark):
+    from gridweave.operators.commitment import merged_status
+
+    def of(*rows):
+        return merged_status(spark.createDataFrame(list(rows), "region long, status string, cost double, bound double")).first()
+
+    assert (of((1, "Optimal", 2.0, 1.0), (2, "Optimal", 3.0, 2.0)).status, of((1, "Optimal", 2.0, 1.0), (2, "Optimal", 3.0, 2.0)).cost) == ("Optimal", 5.0)
+    assert of((1, "Feasible", 2.0, 1.0), (2, "Unbounded", 3.0, 2.0), (3, "Infeasible", None, 1.0)).status == "Infeasible"
+    some = of((2, "Not Solved", None, 2.0), (3, "Feasible", 2.0, 1.0), (1, "Optimal", 1.0, 1.0))
+    assert some.status == "Not Solved" and some.cost is None and some.regions == 3
