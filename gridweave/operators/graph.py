@@ -6,20 +6,24 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import haversine
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write to the folder that all executors share and read back: cuts the lineage of loops."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "gridweave-shared")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write to the folder that all executors share and read back: cuts the lineage of loops."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import voltage_max
 from ..operators.spatial import nearest
-from . import attributes, commitment, model, network, repair, telemetry  # noqa: F401  register their queries
+from . import attributes, commitment, exchange, model, network, repair, telemetry  # noqa: F401  register their queries
 from .bridge import sql_with, view
 from .attributes import NEAR, PLANAR, num
 from .registry import QUERIES, SQL, Query, query

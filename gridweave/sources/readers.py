@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FEATURES = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
-SUBSTATION = "id string, name string, region string, latitude double, longitude double, voltage_kv double, bus_type int, voltage_class string, source_map string, grid_class string, description string"
 
 
 def features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -48,3 +47,50 @@ def interconnections(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def cached_lookup(df: DataFrame, cache: DataFrame) -> DataFrame:
     """Joins (lat, lon) to a cache keyed by both with six decimals, as text."""
     return df.withColumn("key", F.format_string("%.6f,%.6f", "lat", "lon")).join(cache, "key", "left")
+
+
+def feature_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Files of one GeoJSON feature a line: the properties of the given schema, and ``coords``."""
+    schema = f"geometry string, properties struct<{properties}>"
+    raw = spark.read.schema(schema).json(path)
+    parts = raw.select(F.get_json_object("geometry", "$.type").alias("kind"), F.get_json_object("geometry", "$.coordinates").alias("coordinates"), "properties.*")
+    return points(parts).drop("kind", "coordinates")
+
+
+def elements(df: DataFrame) -> DataFrame:
+    """Map elements (type, id, lat, lon, center, tags) as plants: nodes by their place, others by their centre.
+
+    Elements without both coordinates go.  Of several tags the first that is set counts, empty or not;
+    without any the text is empty.
+    """
+    tag = lambda *names: F.coalesce(*(F.col("tags")[n] for n in names), F.lit(""))
+    place = lambda c: F.round(F.when(F.col("type") == "node", F.col(c)).otherwise(F.col(f"center.{c}")), 6)
+    name = tag("name", "name:ja", "name:en")
+    rows = df.select(
+        F.col("id").alias("osm_id"), F.col("type").alias("osm_type"), place("lon").alias("lon"), place("lat").alias("lat"), name.alias("name"),
+        tag("plant:source", "generator:source", "source").alias("source"), tag("plant:output:electricity", "generator:output:electricity").alias("output"),
+        tag("operator").alias("operator"), tag("voltage").alias("voltage"),
+        F.when(name == "", F.concat(F.lit("plant_"), F.col("id").cast("string"))).otherwise(name).alias("display_name"),
+    )
+    return rows.where("lon IS NOT NULL AND lat IS NOT NULL")
+
+
+def gml_plants(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
+    """Plants of a GML document: elements of each kind joined to the points they refer to.
+
+    ``kinds`` maps element names to fuels.  A point needs an id and exactly two numbers; plants whose
+    reference meets no point go; a capacity that is no number is null.
+    """
+    pair = F.split(F.trim("`gml:pos`"), r"\s+")
+    xy = xml_rows(spark, path, "gml:Point", "`_gml:id` string, `gml:pos` string").where(F.size(pair) == 2)
+    xy = xy.select(F.col("_gml:id").alias("ref"), pair[0].try_cast("double").alias("lat"), pair[1].try_cast("double").alias("lon")).where("ref IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    fields = "`_gml:id` string, `ksj:position` struct<_VALUE:string,`_xlink:href`:string>, `ksj:nameOfPlant` string, `ksj:nameOfOwner` string, `ksj:generatingPower` string, `ksj:burningType` string"
+    text = lambda c: F.trim(F.coalesce(F.col(f"ksj:{c}"), F.lit("")))
+    found = None
+    for kind, fuel in kinds.items():
+        one = xml_rows(spark, path, f"ksj:{kind}", fields).select(
+            F.col("_gml:id").alias("plant_id"), F.regexp_replace(F.col("ksj:position")["_xlink:href"], "^#+", "").alias("ref"), text("nameOfPlant").alias("name"), text("nameOfOwner").alias("owner"),
+            text("generatingPower").try_cast("double").alias("mw"), text("burningType").alias("burning"), F.lit(fuel).alias("fuel"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found.join(xy, "ref").drop("ref")

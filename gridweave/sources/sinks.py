@@ -15,8 +15,8 @@ def write_features(df: DataFrame, path: str, coords: str = "coords") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Quoted CSV with a header; quotes inside are doubled."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Quoted CSV with a header, columns sorted, those with a leading underscore left out; quotes inside are doubled."""
+    df.select(*(f"`{c}`" for c in sorted(df.columns) if not c.startswith("_"))).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_tiers(df: DataFrame, path: str, kv: str = "kv") -> None:
