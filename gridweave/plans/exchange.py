@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graph, matpower
-from ..sources import readers, sinks
+from ..operators.spatial import within_km
+from ..sources import readers, sinks, units
+from .attributes import hav
 from .bridge import sql_with, view
 from .registry import query
 
@@ -136,3 +138,44 @@ def geocoded_names(spark: SparkSession, sf: str) -> DataFrame:
     found = readers.cached_lookup(s, cache)
     name = F.when(F.trim("name") != "", F.col("name")).otherwise(F.coalesce("place", F.concat(F.lit("substation_"), F.col("sub_id").cast("string"))))
     return found.select("sub_id", name.alias("name"), F.col("place").isNotNull().alias("cached"))
+
+
+UNITS = "SELECT CAST(gen_id AS VARCHAR) AS id, CAST(region AS VARCHAR) AS region, mw AS capacity_mw, CASE gen_id % 3 WHEN 0 THEN 'coal' WHEN 1 THEN 'lng' ELSE 'unlisted' END AS fuel_type, CASE WHEN gen_id % 3 = 0 THEN mw * 10 ELSE 5000e0 END AS startup_cost, CASE WHEN gen_id % 4 = 0 THEN 3 ELSE 4 END AS min_up_time_h, CASE WHEN gen_id % 2 = 0 THEN 12.5e0 WHEN gen_id % 3 = 0 THEN 4500e0 WHEN gen_id % 3 = 1 THEN 7000e0 ELSE 5000e0 END AS fuel_cost_per_mwh, CASE WHEN gen_id % 5 = 0 THEN mw / 2 END AS ramp_up_mw_per_h, CASE WHEN gen_id % 6 = 0 THEN 1 ELSE 0 END AS windows, CASE WHEN gen_id % 6 = 0 THEN 30 END AS start_h, CASE WHEN gen_id % 6 = 0 THEN 48 END AS end_h FROM gen"
+
+
+@query("unit_xml_roundtrip", sql_with("gen") + " " + UNITS)
+def unit_xml_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Units written as XML regions and read back with defaults for what was left out; one of three windows is valid."""
+    at = graph.shared_path(spark)
+    given = lambda every, name, value: F.when(F.col("gen_id") % every == 0, F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise("")
+    fuel = F.when(F.col("gen_id") % 3 == 0, "coal").when(F.col("gen_id") % 3 == 1, "lng").otherwise("unlisted")
+    windows = '<MaintenancePlan><Window start="2000-01-02T06:00:00" end="2000-01-03T00:30:00"/><Window start="2000-01-03T00:00:00" end="2000-01-02T00:00:00"/><Window start="soon" end="2000-01-02T00:00:00"/></MaintenancePlan>'
+    unit = F.concat(
+        F.lit('<Generator id="'), F.col("gen_id").cast("string"), F.lit('" fuel_type="'), fuel, F.lit('" capacity_mw="'), F.col("mw").cast("string"), F.lit('"'),
+        given(3, "startup_cost", (F.col("mw") * 10).cast("string")), given(4, "min_up_time_h", F.lit("3.7")), given(2, "fuel_cost_per_mwh", F.lit("12.5")), F.lit(">"),
+        F.when(F.col("gen_id") % 5 == 0, F.concat(F.lit('<RampRates ramp_up_mw_per_h="'), (F.col("mw") / 2).cast("string"), F.lit('"/>'))).otherwise(""),
+        F.when(F.col("gen_id") % 6 == 0, windows).otherwise(""), F.lit("</Generator>"),
+    )
+    # One element of a thousand ids at most a file: documents have one root, and no row grows with the table.
+    docs = view(spark, sf, "gen").groupBy("region", F.floor(F.col("gen_id") / 1000).alias("part")).agg(F.array_join(F.collect_list(unit), "\n").alias("body"))
+    docs.select(F.concat_ws("-", "region", "part").alias("file"), F.concat(F.lit('<Region id="'), F.col("region").cast("string"), F.lit('"><Generators>\n'), "body", F.lit("\n</Generators></Region>")).alias("value")).write.partitionBy("file").text(at)
+    first = F.get("maintenance", F.lit(0))
+    return units.unit_rows(spark, f"{at}/file=*").select("id", "region", "capacity_mw", "fuel_type", "startup_cost", "min_up_time_h", "fuel_cost_per_mwh", "ramp_up_mw_per_h", F.size("maintenance").alias("windows"), first["start_h"].alias("start_h"), first["end_h"].alias("end_h"))
+
+
+TYPES = {"transmission": 154.0, "distribution": 66.0, "traction": 25.0, "industrial": 66.0, "generation": 154.0, "converter": 275.0, "transition": 66.0, "switching": 154.0}
+KIND = "CASE sub_id % 5 WHEN 0 THEN 'transmission' WHEN 1 THEN 'traction' WHEN 2 THEN 'converter' ELSE '' END"
+
+
+@query("substation_export", sql_with("sub", "way") + f", p AS (SELECT lat1 AS lat, lon1 AS lon, kv FROM way UNION ALL SELECT lat2, lon2, kv FROM way), n AS (SELECT sub_id, max(p.kv) AS kv FROM sub JOIN p ON abs(p.lat - sub.lat) <= 0.02 AND abs(p.lon - sub.lon) <= 0.02 WHERE {hav('sub.lat', 'sub.lon', 'p.lat', 'p.lon')} <= 1 GROUP BY sub_id), t AS (SELECT sub_id, CASE {KIND} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in TYPES.items()) + " END AS kv FROM sub) SELECT sub.sub_id, CASE WHEN sub.kv > 0 THEN sub.kv ELSE coalesce(n.kv, t.kv) END AS kv, CASE WHEN sub.kv > 0 THEN 'osm' WHEN n.kv IS NOT NULL THEN 'inferred_from_lines' WHEN t.kv IS NOT NULL THEN 'inferred_from_type' END AS voltage_source FROM sub LEFT JOIN n USING (sub_id) LEFT JOIN t USING (sub_id)")
+def substation_export(spark: SparkSession, sf: str) -> DataFrame:
+    """A substation's voltage and where it is from: its own, the highest of line ends within a kilometre, its type."""
+    s, w = view(spark, sf, "sub"), view(spark, sf, "way")
+    lacking = s.where("kv <= 0").select("sub_id", F.col("lat").alias("llat"), F.col("lon").alias("llon"))
+    end = lambda i: w.select(F.col("kv").alias("line_kv"), F.col(f"lat{i}").alias("rlat"), F.col(f"lon{i}").alias("rlon"))
+    near = within_km(lacking, end(1).union(end(2)), 1.0).groupBy("sub_id").agg(F.max("line_kv").alias("line_kv"))
+    kind = F.expr(KIND)
+    by_type = F.coalesce(*(F.when(kind == k, v) for k, v in TYPES.items()))
+    own = F.when(F.col("kv") > 0, F.col("kv"))
+    source = F.when(own.isNotNull(), "osm").when(F.col("line_kv").isNotNull(), "inferred_from_lines").when(by_type.isNotNull(), "inferred_from_type")
+    return s.select("sub_id", "kv").join(near, "sub_id", "left").select("sub_id", F.coalesce(own, "line_kv", by_type).alias("kv"), source.alias("voltage_source"))

@@ -64,3 +64,16 @@ def test_case_tables(spark):
     got = sorted((r.bus, r.kind, round(r.pg, 3), r.qmax, r.pmax) for r in table.collect())
     assert got == [(1, "slack", 0.0, 9999.0, 9999.0), (2, "condenser", 0.0, 200.0, 0.0), (3, "unit", 10.5, 30.0, 50.0), (3, "unit", 21.0, 60.0, 100.0), (4, "condenser", 0.0, 100.0, 0.0)]
     assert table.where(F.col("qmin") >= 0).count() == 0
+
+
+def test_units_without_attributes_get_the_defaults(spark, tmp_path):
+    (tmp_path / "u.xml").write_text(
+        '<Grid><Region id="north"><Generators><Generator id="a"/><Generator id="b" capacity_mw="10" fuel_type="hydro" startup_cost="1" min_down_time_h="2.9"><Location latitude="43" longitude="141"/>'
+        '<MaintenancePlan><Window start="2000-01-01T01:00:00"/></MaintenancePlan><RebuildPlan planned_date=""/><DisasterRisk risk_score="0.5"/></Generator></Generators></Region><Region id="empty"></Region></Grid>'
+    )
+    from gridweave.sources.units import unit_rows
+
+    got = {r.id: r for r in unit_rows(spark, str(tmp_path / "u.xml"), {"no_load_cost": None}).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.region, a.capacity_mw, a.fuel_type, a.status, a.startup_cost, a.min_up_time_h, a.fuel_cost_per_mwh, a.no_load_cost, a.ramp_up_mw_per_h, a.maintenance) == ("north", 0.0, "unknown", "active", 5000.0, 4, 5000.0, 0.0, None, [])
+    assert (b.latitude, b.longitude, b.startup_cost, b.min_down_time_h, b.fuel_cost_per_mwh, b.maintenance, b.rebuild_planned_date, b.risk_score) == (43.0, 141.0, 1.0, 2, 0.0, [], None, 0.5)
