@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geo, scalars as S
 from ..operators import parameters as M
-from ..operators.spatial import nearest
+from ..operators.spatial import attached, nearest, places
 from .attributes import hav
 from .bridge import sql_with, view
 from .registry import query
@@ -17,12 +17,17 @@ ENDS = f", p AS (SELECT way_id, 1 AS side, lat1 AS lat, lon1 AS lon FROM way UNI
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
     """way_id, from_sub, to_sub, km, region, kv, name: both ends at their nearest substations within 50 km, different ones."""
-    way = view(spark, sf, "way")
+    way = view(spark, sf, "way").where("way_id IS NOT NULL")
     sub = view(spark, sf, "sub").select("sub_id", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    end = lambda i, to: nearest(way.select("way_id", F.col(f"lat{i}").alias("llat"), F.col(f"lon{i}").alias("llon")), "way_id", sub, "sub_id", 50.0).select("way_id", F.col("sub_id").alias(to))
     length = geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    km = F.round(F.when(length > 0, length).otherwise(1.0), 2)
-    return way.select("way_id", "region", "kv", "name", km.alias("km")).join(end(1, "from_sub"), "way_id").join(end(2, "to_sub"), "way_id").where("from_sub <> to_sub")
+    out = ["way_id", "region", "kv", "name", F.round(F.when(length > 0, length).otherwise(1.0), 2).alias("km")]
+    held = places(sub, "sub_id")
+    if held is not None and way.groupBy("way_id").count().where("count > 1").isEmpty():
+        both = attached(way, held, [("lat1", "lon1", "from_sub", "_km1"), ("lat2", "lon2", "to_sub", "_km2")], 50.0)
+        return both.where("from_sub <> to_sub").select(*out, "from_sub", "to_sub")
+    # ways of equal numbers share the ends that lie nearest
+    end = lambda i, to: nearest(way.select("way_id", F.col(f"lat{i}").alias("llat"), F.col(f"lon{i}").alias("llon")), "way_id", sub, "sub_id", 50.0).select("way_id", F.col("sub_id").alias(to))
+    return way.select(*out).join(end(1, "from_sub"), "way_id").join(end(2, "to_sub"), "way_id").where("from_sub <> to_sub")
 
 
 WAYS = ENDS + f", w AS (SELECT m.*, a.region, a.kv, a.name, round(CASE WHEN {hav('a.lat1', 'a.lon1', 'a.lat2', 'a.lon2')} > 0 THEN {hav('a.lat1', 'a.lon1', 'a.lat2', 'a.lon2').removeprefix('round(').rsplit(', 6)', 1)[0]} ELSE 1e0 END, 2) AS km FROM m JOIN way a ON a.way_id = m.way_id)"
