@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, scalars as S
-from ..operators.spatial import nearest, within_km
+from ..operators.spatial import largest_within, nearest
 from .bridge import sql_with, view
 from .registry import query
 
@@ -200,7 +200,7 @@ def nearest_planar(spark: SparkSession, sf: str) -> DataFrame:
 def voltage_infer_range_max(spark: SparkSession, sf: str) -> DataFrame:
     left, _ = _sides(spark, sf)
     right = view(spark, sf, "sub").where("kv >= 10").select("kv", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    return within_km(left, right, 20.0).groupBy("gen_id").agg(F.max("kv").alias("kv"))
+    return largest_within(left, "gen_id", right, "kv", 20.0)
 
 
 @query("fill_from_nearest", sql_with("gen", "sub") + f", p AS (SELECT gen_id, sub.sub_id, sub.operator, {hav('gen.lat', 'gen.lon', 'sub.lat', 'sub.lon')} AS km FROM gen, sub), r AS (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY km, sub_id) AS k FROM p WHERE km <= 15) SELECT gen.gen_id, coalesce(CASE WHEN trim(fuel) <> '' THEN fuel END, operator) AS filled, round(km, 3) AS km FROM gen LEFT JOIN (SELECT * FROM r WHERE k = 1) r ON r.gen_id = gen.gen_id")
