@@ -11,7 +11,7 @@ from gridweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose rows must not be multiplied by the cells around them.
-SEARCHED = ["nearest_haversine_50km", "line_endpoint_matching", "endpoint_graph", "endpoint_naming", "voltage_infer_range_max", "capacity_by_region_voltage", "fill_from_nearest"]
+SEARCHED = ["nearest_haversine_50km", "line_endpoint_matching", "endpoint_graph", "endpoint_naming", "voltage_infer_range_max", "capacity_by_region_voltage", "fill_from_nearest", "nearest_planar"]
 
 
 def points(kind, rng, n):
