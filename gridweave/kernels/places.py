@@ -1,10 +1,11 @@
-"""Searches around points in numpy: places sorted by latitude band and longitude, for several radii."""
+"""Searches around points in numpy (and Arrow columns): places sorted by latitude band and longitude, for several radii."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 EARTH_KM, DEGREE_KM = 6371.0, 111.0
 #: Pairs whose distances are computed at once.
@@ -20,6 +21,11 @@ def distance(metric: str, lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray,
     return np.round(2 * EARTH_KM * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0))), 6)
 
 
+def floats(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of numbers; nulls are NaN."""
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.cast(pa.float64()).to_numpy()
+
+
 class Places:
     """Points in the order that breaks ties; nulls are NaN and are never met."""
 

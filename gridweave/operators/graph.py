@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geo import haversine
+from ..kernels.places import Places, floats
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -76,8 +81,99 @@ def bridge(buses: DataFrame, edges: DataFrame, km: float) -> DataFrame:
     """Lines (a, b, km) that join components through their nearest buses, in rounds.
 
     Every round each component takes its shortest link to another one within ``km`` and components
-    merge along them (Boruvka), so at most a logarithmic number of rounds is needed.
+    merge along them (Boruvka), so at most a logarithmic number of rounds is needed.  Up to
+    ``PLACES`` buses, links are searched around each bus of all components but the largest; beyond,
+    all pairs within ``km`` are stored.
     """
+    from .spatial import PLACES
+
+    held = buses.select(F.col("id").alias("b"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).where("b IS NOT NULL").limit(PLACES + 1).toArrow()
+    return _bridge_pairs(buses, edges, km) if held.num_rows > PLACES else _bridge_search(buses, edges, km, held)
+
+
+def _bridge_search(buses: DataFrame, edges: DataFrame, km: float, held: pa.Table) -> DataFrame:
+    """The driver keeps a component number for each of at most PLACES buses and a link for each component."""
+    spark = buses.sparkSession
+    held = held.sort_by("b")
+    ids = held["b"].to_numpy()
+    label = dict(connected_components(buses.select("id"), edges.select("a", "b")).where("id IS NOT NULL").toPandas().itertuples(index=False))
+    root = np.unique(np.array([label[i] for i in ids]), return_inverse=True)[1]
+    kernel = Places(floats(held["rlat"]), floats(held["rlon"]))
+    shared = spark.sparkContext.broadcast((kernel, kernel.radii(km)))
+    parts = max(spark.sparkContext.defaultParallelism, len(ids) // 10_000)
+    lines: list[tuple[int, int, float]] = []
+    while len(ids):
+        main = int(np.bincount(root).argmax())
+        out = np.flatnonzero(root != main)
+        if not len(out):
+            break
+        now = spark.sparkContext.broadcast((root, main))
+        searching = spark.sparkContext.broadcast(out[np.argsort(root[out], kind="stable")])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (kernel, radii), (root, main), rows_of = shared.value, now.value, searching.value
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    rows = rows_of[part * len(rows_of) // parts : (part + 1) * len(rows_of) // parts]
+                    found = [nearest_other(kernel, radii, km, root, rows, None), nearest_other(kernel, radii, km, root, rows, main)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["x", "y", "km"])
+
+        links = spark.range(0, parts, 1, parts).mapInArrow(run, "x long, y long, km double").toPandas()
+        now.destroy()
+        searching.destroy()
+        links["lo"], links["hi"] = np.minimum(links.x, links.y), np.maximum(links.x, links.y)
+        links = links.sort_values(["km", "lo", "hi"])
+        sides = pd.concat([links.assign(c=root[links[e]]) for e in ("x", "y")]).sort_values(["km", "lo", "hi"], kind="stable")
+        new = sides.drop_duplicates("c").drop_duplicates(["lo", "hi"])
+        if not len(new):
+            break
+        lines += [(int(ids[lo]), int(ids[hi]), float(d)) for lo, hi, d in zip(new.lo, new.hi, new.km, strict=True)]
+        root = merged(root, new.lo.to_numpy(), new.hi.to_numpy())
+    return spark.createDataFrame(pd.DataFrame(lines, columns=["a", "b", "km"]), "a long, b long, km double")
+
+
+def nearest_other(kernel: Places, radii: list[float], km: float, root: np.ndarray, rows: np.ndarray, main: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, km) of the least link of each component among ``rows``: to any other one, or to ``main``.
+
+    A component that has a link within a radius needs no larger one.
+    """
+    best: dict[int, tuple[float, int, int, int, int]] = {}
+    left = rows
+    for r in radii:
+        for i, y, d in kernel.pairs(kernel.lat[left], kernel.lon[left], r):
+            x = left[i]
+            ok = root[y] == main if main is not None else root[y] != root[x]
+            x, y, d = x[ok], y[ok], d[ok]
+            if not len(x):
+                continue
+            c, lo, hi = root[x], np.minimum(x, y), np.maximum(x, y)
+            by = np.lexsort((hi, lo, d, c))
+            first = by[np.r_[True, c[by][1:] != c[by][:-1]]]
+            for k in first:
+                new = (float(d[k]), int(lo[k]), int(hi[k]), int(x[k]), int(y[k]))
+                best[int(c[k])] = min(best.get(int(c[k]), new), new)
+        left = left[~np.isin(root[left], np.fromiter(best, np.int64, len(best)))]
+        if not len(left):
+            break
+    got = list(best.values())
+    return np.array([g[3] for g in got], np.int64), np.array([g[4] for g in got], np.int64), np.array([g[0] for g in got], float)
+
+
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component numbers after the links between buses a and b."""
+    up = np.arange(root.max(initial=-1) + 1)
+    for x, y in zip(root[a], root[b], strict=True):
+        while up[x] != x:
+            x = up[x] = up[up[x]]
+        while up[y] != y:
+            y = up[y] = up[up[y]]
+        up[max(x, y)] = min(x, y)
+    while (up != up[up]).any():
+        up = up[up]
+    return np.unique(up[root], return_inverse=True)[1]
+
+
+def _bridge_pairs(buses: DataFrame, edges: DataFrame, km: float) -> DataFrame:
     from .spatial import within_km
 
     found, all_edges = None, edges.select("a", "b")

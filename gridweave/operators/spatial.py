@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.geo import haversine, planar_km
-from ..kernels.places import Places
+from ..kernels.places import Places, floats
 
 #: Kilometres of a degree of latitude at least.
 DEGREE_KM = 111.0
@@ -53,12 +53,8 @@ def places(right: DataFrame, value: str, order: Column | None = None) -> pa.Tabl
     return held.sort_by("_o").select([value, "rlat", "rlon"]) if held.num_rows <= PLACES else None
 
 
-def _floats(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.cast(pa.float64()).to_numpy()
-
-
 def _kernel(held: pa.Table, metric: str) -> Places:
-    return Places(_floats(held["rlat"]), _floats(held["rlon"]), metric)
+    return Places(floats(held["rlat"]), floats(held["rlon"]), metric)
 
 
 def attached(left: DataFrame, held: pa.Table, ends: list[tuple[str, str, str, str]], km: float, metric: str = "haversine", best: str = "nearest") -> DataFrame:
@@ -82,7 +78,7 @@ def attached(left: DataFrame, held: pa.Table, ends: list[tuple[str, str, str, st
         for batch in batches:
             columns = list(batch.columns)
             for lat, lon, _, _ in ends:
-                p = _floats(batch.column(lat)), _floats(batch.column(lon))
+                p = floats(batch.column(lat)), floats(batch.column(lon))
                 at, far = kernel.nearest(*p, km, radii) if best == "nearest" else (kernel.largest(*p, km), None)
                 columns.append(values.take(pa.array(at, mask=at < 0)))
                 columns += [pa.array(far, mask=at < 0)] if far is not None else []
@@ -113,7 +109,7 @@ def dealt(left: DataFrame, key: str, right: DataFrame, value: str, km: float, me
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("_o")
-        p, kernel = (_floats(a["llat"]), _floats(a["llon"])), _kernel(b, metric)
+        p, kernel = (floats(a["llat"]), floats(a["llon"])), _kernel(b, metric)
         at, far = kernel.nearest(*p, km) if best == "nearest" else (kernel.largest(*p, km), np.zeros(len(p[0])))
         ok = np.flatnonzero(at >= 0)
         b = b.take(at[ok])
