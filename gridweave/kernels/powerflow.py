@@ -1,6 +1,6 @@
 """AC and DC power flow on one island: Newton variants, Gauss-Seidel and Jacobi, decoupled methods.
 
-A case is an admittance matrix Y, injections S (per unit), a start vector V and bus kinds.  Every
+A case is an admittance matrix Y (sparse or dense; all methods work on its entries), injections S (per unit), a start vector V and bus kinds.  Every
 solver returns a Result and never raises on numerical trouble.  Stop rules: largest mismatch below
 ``tol``; divergence beyond ten times the first mismatch; not a number; a singular matrix.
 """
@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from . import sparse
+from .sparse import Factors, Matrix
+
 
 @dataclass
 class Case:
-    y: np.ndarray
+    y: np.ndarray | Matrix
     s: np.ndarray
     v: np.ndarray
     slack: np.ndarray
@@ -41,13 +44,16 @@ def mismatch(c: Case, v: np.ndarray, s: np.ndarray | None = None) -> np.ndarray:
     return np.r_[d[c.free].real, d[c.pq].imag]
 
 
-def jacobian(c: Case, v: np.ndarray) -> np.ndarray:
-    i = c.y @ v
-    unit = v / np.abs(v)
-    by_angle = 1j * v[:, None] * np.conj(np.diag(i) - c.y * v[None, :])
-    by_size = v[:, None] * np.conj(c.y * unit[None, :]) + np.diag(np.conj(i) * unit)
-    f, q = c.free, c.pq
-    return np.block([[by_angle[np.ix_(f, f)].real, by_size[np.ix_(f, q)].real], [by_angle[np.ix_(q, f)].imag, by_size[np.ix_(q, q)].imag]])
+def jacobian(c: Case, v: np.ndarray) -> Matrix:
+    y, own = Matrix.of(c.y), np.arange(len(v))
+    i, unit = y @ v, v / np.abs(v)
+    row, col = np.r_[y.row, own], np.r_[y.col, own]
+    by_angle = np.r_[-1j * v[y.row] * np.conj(y.val * v[y.col]), 1j * v * np.conj(i)]
+    by_size = np.r_[v[y.row] * np.conj(y.val * unit[y.col]), np.conj(i) * unit]
+    n, m = len(c.free), len(c.free) + len(c.pq)
+    f, q = sparse.places(c.free, len(v)), sparse.places(c.pq, len(v))
+    q = np.where(q < 0, q, q + n)
+    return Matrix.joined((m, m), [(f[row], f[col], by_angle.real), (f[row], q[col], by_size.real), (q[row], f[col], by_angle.imag), (q[row], q[col], by_size.imag)])
 
 
 def moved(c: Case, v: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -81,12 +87,12 @@ def drive(c: Case, step: Callable[[int, np.ndarray, np.ndarray], np.ndarray], to
 
 
 def newton(c: Case, tol: float, most: int) -> Result:
-    return drive(c, lambda k, v, f: moved(c, v, np.linalg.solve(jacobian(c, v), -f)), tol, most)
+    return drive(c, lambda k, v, f: moved(c, v, sparse.solve(jacobian(c, v), -f)), tol, most)
 
 
 def newton_line_search(c: Case, tol: float, most: int) -> Result:
     def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
-        d, a, n0 = np.linalg.solve(jacobian(c, v), -f), 1.0, np.linalg.norm(f)
+        d, a, n0 = sparse.solve(jacobian(c, v), -f), 1.0, np.linalg.norm(f)
         for _ in range(10):
             w = moved(c, v, a * d)
             if np.linalg.norm(mismatch(c, w)) <= (1 - 1e-4 * a) * n0:
@@ -99,7 +105,7 @@ def newton_line_search(c: Case, tol: float, most: int) -> Result:
 
 def newton_iwamoto(c: Case, tol: float, most: int) -> Result:
     def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
-        d = np.linalg.solve(jacobian(c, v), -f)
+        d = sparse.solve(jacobian(c, v), -f)
         f0, half, one = (float(np.sum(mismatch(c, moved(c, v, a * d)) ** 2)) for a in (0.0, 0.5, 1.0))
         a, b = 2 * one + 2 * f0 - 4 * half, 4 * half - one - 3 * f0
         return moved(c, v, (np.clip(-b / (2 * a), 0.05, 1.0) if a > 1e-16 else 1.0) * d)
@@ -108,12 +114,12 @@ def newton_iwamoto(c: Case, tol: float, most: int) -> Result:
 
 
 def newton_dishonest(c: Case, tol: float, most: int) -> Result:
-    held: dict[str, np.ndarray] = {}
+    held: dict[str, Factors] = {}
 
     def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
         if k % 3 == 0:
-            held["j"] = np.linalg.inv(jacobian(c, v))
-        return moved(c, v, -held["j"] @ f)
+            held["j"] = Factors(jacobian(c, v))
+        return moved(c, v, held["j"].solve(-f))
 
     return drive(c, step, tol, most)
 
@@ -123,9 +129,11 @@ def newton_levenberg(c: Case, tol: float, most: int) -> Result:
 
     def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
         j = jacobian(c, v)
-        h, g, n0 = j.T @ j, j.T @ f, np.linalg.norm(f)
+        h, g, n0 = j.squared(), np.bincount(j.col, j.val * f[j.row], j.shape[1]), np.linalg.norm(f)
+        own = np.arange(len(g))
         for _ in range(5):
-            w = moved(c, v, np.linalg.solve(h + state["l"] * np.diag(np.diag(h)), -g))
+            raised = Matrix(h.shape, np.r_[h.row, own], np.r_[h.col, own], np.r_[h.val, state["l"] * h.diagonal()])
+            w = moved(c, v, sparse.solve(raised, -g))
             if np.linalg.norm(mismatch(c, w)) < n0:
                 state["l"] = max(state["l"] / 10, 1e-12)
                 break
@@ -138,17 +146,16 @@ def newton_levenberg(c: Case, tol: float, most: int) -> Result:
 def newton_rectangular(c: Case, tol: float, most: int) -> Result:
     spec = np.abs(c.v)
 
-    def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
-        i, free = c.y @ v, c.free
-        real = np.conj(np.diag(i)) + v[:, None] * np.conj(c.y)
-        imag = 1j * np.conj(np.diag(i)) + v[:, None] * np.conj(1j * c.y)
-        square = np.zeros((len(c.pv), 2 * len(free)))
-        place = {b: n for n, b in enumerate(free)}
-        for n, b in enumerate(c.pv):
-            square[n, place[b]], square[n, len(free) + place[b]] = 2 * v[b].real, 2 * v[b].imag
-        rows = lambda p, part: np.c_[part(real[np.ix_(p, free)]), part(imag[np.ix_(p, free)])]
-        j = np.r_[rows(free, np.real), rows(c.pq, np.imag), square]
-        d = np.linalg.solve(j, -np.r_[f, np.abs(v[c.pv]) ** 2 - spec[c.pv] ** 2])
+    def step(k: int, v: np.ndarray, f_: np.ndarray) -> np.ndarray:
+        y, free, own = Matrix.of(c.y), c.free, np.arange(len(v))
+        i, n, m = y @ v, len(free), len(c.pq)
+        row, col = np.r_[y.row, own], np.r_[y.col, own]
+        real, imag = np.r_[v[y.row] * np.conj(y.val), np.conj(i)], np.r_[v[y.row] * np.conj(1j * y.val), 1j * np.conj(i)]
+        f, q = sparse.places(free, len(v)), sparse.places(c.pq, len(v))
+        q, right = np.where(q < 0, q, q + n), np.where(f < 0, f, f + n)
+        last = n + m + np.arange(len(c.pv))
+        j = Matrix.joined((2 * n, 2 * n), [(f[row], f[col], real.real), (f[row], right[col], imag.real), (q[row], f[col], real.imag), (q[row], right[col], imag.imag), (last, f[c.pv], 2 * v[c.pv].real), (last, right[c.pv], 2 * v[c.pv].imag)])
+        d = sparse.solve(j, -np.r_[f_, np.abs(v[c.pv]) ** 2 - spec[c.pv] ** 2])
         v = v.copy()
         v[free] += d[: len(free)] + 1j * d[len(free) :]
         return v
@@ -161,28 +168,26 @@ def newton_current(c: Case, tol: float, most: int) -> Result:
     spec = np.abs(c.v)
 
     def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
-        free, at, out = c.free, {}, []
+        y, free, n = Matrix.of(c.y), c.free, len(c.free)
+        i = y @ v
         s = c.s.copy()
-        s[c.pv] = s[c.pv].real + 1j * (v * np.conj(c.y @ v))[c.pv].imag
-        d = c.y @ v - np.conj(s / v)
-        n = len(free)
-        at = {b: k for k, b in enumerate(free)}
-        block = c.y[np.ix_(free, free)]
-        w = np.conj(s[free]) / np.conj(v[free]) ** 2  # d conj(S/V) by conj(V), negative
-        j = np.block([[block.real + np.diag(w.real), -block.imag + np.diag(w.imag)], [block.imag + np.diag(w.imag), block.real - np.diag(w.real)]])
+        s[c.pv] = s[c.pv].real + 1j * (v * np.conj(i))[c.pv].imag
+        d = i - np.conj(s / v)
+        f, q, g = (sparse.places(x, len(v)) for x in (free, c.pq, c.pv))  # pv buses come first among the free
+        q, col, below = np.where(q < 0, q, q + len(c.pv)), f[y.col], np.where(f < 0, f, f + n)
+        right, w = below[y.col], (np.conj(s) / np.conj(v) ** 2)[c.pq]  # d conj(S/V) by conj(V), negative
+        low, qr, row = np.where(q < 0, q, q + n), q[y.row], v[y.row] * np.conj(y.val)
+        at, pq, lowq, sizes = g[y.row], f[c.pq], below[c.pq], below[c.pv]
+        # a PV bus swaps its second row for the size equation and its first for power
+        j = Matrix.joined((2 * n, 2 * n), [
+            (qr, col, y.val.real), (qr, right, -y.val.imag), (low[y.row], col, y.val.imag), (low[y.row], right, y.val.real),
+            (pq, pq, w.real), (pq, lowq, w.imag), (lowq, pq, w.imag), (lowq, lowq, -w.real),
+            (at, col, row.real), (at, right, (v[y.row] * np.conj(1j * y.val)).real), (f[c.pv], f[c.pv], i[c.pv].real), (f[c.pv], sizes, i[c.pv].imag),
+            (sizes, f[c.pv], 2 * v[c.pv].real), (sizes, sizes, 2 * v[c.pv].imag),
+        ])
         rhs = np.r_[d[free].real, d[free].imag]
-        for b in c.pv:  # a PV bus swaps its second row for the size equation and its first for power
-            k = at[b]
-            i = c.y @ v
-            row = v[b] * np.conj(c.y[b, free])
-            j[k, :n], j[k, n:] = row.real, row.imag
-            j[k, k] += i[b].real
-            j[k, n + k] += i[b].imag
-            rhs[k] = (v[b] * np.conj(i[b])).real - c.s[b].real
-            j[n + k] = 0
-            j[n + k, k], j[n + k, n + k] = 2 * v[b].real, 2 * v[b].imag
-            rhs[n + k] = abs(v[b]) ** 2 - spec[b] ** 2
-        out = np.linalg.solve(j, -rhs)
+        rhs[f[c.pv]], rhs[sizes] = (v * np.conj(i) - c.s)[c.pv].real, np.abs(v[c.pv]) ** 2 - spec[c.pv] ** 2
+        out = sparse.solve(j, -rhs)
         v = v.copy()
         v[free] += out[:n] + 1j * out[n:]
         return v
@@ -194,45 +199,55 @@ def sweep(relax: float, at_once: bool) -> Callable[[Case, float, int], Result]:
     """Gauss-Seidel (each bus sees the new ones) or Jacobi, with a relaxation factor."""
 
     def solve(c: Case, tol: float, most: int) -> Result:
-        size = np.abs(c.v)
+        size, y = np.abs(c.v).tolist(), Matrix.of(c.y)
+        starts = np.searchsorted(y.row, np.arange(len(c.v) + 1)).tolist()
+        near, ys, own, power = y.col.tolist(), y.val.tolist(), y.diagonal().tolist(), c.s.tolist()
 
         def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
-            old, new = v, v.copy()
-            for b in c.free:
+            old, new = v.tolist(), v.tolist()
+            for b in free:
                 seen = old if at_once else new
-                ybb = c.y[b, b]
+                ybb = own[b]
                 if abs(ybb) < 1e-20:
                     continue
-                flow = c.y[b] @ seen
-                s = c.s[b]
+                flow = sum(ys[e] * seen[near[e]] for e in range(starts[b], starts[b + 1]))
+                s = power[b]
                 if b in pv:
-                    s = s.real + 1j * (seen[b] * np.conj(flow)).imag
-                x = seen[b] + (np.conj(s / seen[b]) - flow) / ybb
+                    s = s.real + 1j * (seen[b] * flow.conjugate()).imag
+                x = seen[b] + ((s / seen[b]).conjugate() - flow) / ybb
                 x = seen[b] + relax * (x - seen[b])
                 new[b] = x / abs(x) * size[b] if b in pv else x
-            return new
+            return np.array(new)
 
-        pv = set(c.pv.tolist())
+        pv, free = set(c.pv.tolist()), c.free.tolist()
         return drive(c, step, tol, most)
 
     return solve
 
 
+def susceptance(y: Matrix) -> Matrix:
+    """The negative imaginary part, its diagonal such that rows sum to zero."""
+    b, off = -y.val.imag, y.row != y.col
+    own = np.arange(y.shape[0])
+    return Matrix(y.shape, np.r_[y.row[off], own], np.r_[y.col[off], own], np.r_[b[off], -np.bincount(y.row[off], b[off], len(own))])
+
+
 def decoupled(variant: str) -> Callable[[Case, float, int], Result]:
     """Fast decoupled with constant matrices: BX ignores nothing in the second, XB in the first."""
 
     def solve(c: Case, tol: float, most: int) -> Result:
-        b = -c.y.imag
-        off = b - np.diag(np.diag(b))
-        rowsum = off - np.diag(off.sum(1))
+        y = Matrix.of(c.y)
+        b, rowsum = Matrix(y.shape, y.row, y.col, -y.val.imag), susceptance(y)
         first, second = (rowsum, b) if variant == "bx" else (b, rowsum)
-        p, q = first[np.ix_(c.free, c.free)], second[np.ix_(c.pq, c.pq)]
+        held: list[Factors] = []
 
         def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
             n = len(c.free)
-            v = moved(c, v, np.r_[np.linalg.solve(p, -f[:n] / np.abs(v[c.free])), np.zeros(len(c.pq))])
+            if not held:
+                held.extend((Factors(first.part(c.free, c.free)), Factors(second.part(c.pq, c.pq))))
+            v = moved(c, v, np.r_[held[0].solve(-f[:n] / np.abs(v[c.free])), np.zeros(len(c.pq))])
             f = mismatch(c, v)
-            return moved(c, v, np.r_[np.zeros(n), np.linalg.solve(q, -f[n:] / np.abs(v[c.pq]))]) if len(c.pq) else v
+            return moved(c, v, np.r_[np.zeros(n), held[1].solve(-f[n:] / np.abs(v[c.pq]))]) if len(c.pq) else v
 
         return drive(c, step, tol, most)
 
@@ -242,9 +257,10 @@ def decoupled(variant: str) -> Callable[[Case, float, int], Result]:
 def newton_decoupled(c: Case, tol: float, most: int) -> Result:
     def step(k: int, v: np.ndarray, f: np.ndarray) -> np.ndarray:
         n = len(c.free)
-        v = moved(c, v, np.r_[np.linalg.solve(jacobian(c, v)[:n, :n], -f[:n]), np.zeros(len(c.pq))])
+        angles, sizes = np.arange(n), n + np.arange(len(c.pq))
+        v = moved(c, v, np.r_[sparse.solve(jacobian(c, v).part(angles, angles), -f[:n]), np.zeros(len(c.pq))])
         f = mismatch(c, v)
-        return moved(c, v, np.r_[np.zeros(n), np.linalg.solve(jacobian(c, v)[n:, n:], -f[n:])]) if len(c.pq) else v
+        return moved(c, v, np.r_[np.zeros(n), sparse.solve(jacobian(c, v).part(sizes, sizes), -f[n:])]) if len(c.pq) else v
 
     return drive(c, step, tol, most)
 
@@ -261,15 +277,12 @@ def continuation(c: Case, tol: float, most: int) -> Result:
     return Result(v, history[-1] < tol, total, "" if history[-1] < tol else "iteration limit", history)
 
 
-def dc(y: np.ndarray, p: np.ndarray, slack: int) -> np.ndarray:
+def dc(y: np.ndarray | Matrix, p: np.ndarray, slack: int) -> np.ndarray:
     """Angles of the linear flow, zero at the slack."""
-    b = -y.imag
-    off = b - np.diag(np.diag(b))
-    b = off - np.diag(off.sum(1))
     keep = np.delete(np.arange(len(p)), slack)
     theta = np.zeros(len(p))
     if len(keep):
-        theta[keep] = np.linalg.solve(b[np.ix_(keep, keep)], p[keep])
+        theta[keep] = sparse.solve(susceptance(Matrix.of(y)).part(keep, keep), p[keep])
     return theta
 
 

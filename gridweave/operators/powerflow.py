@@ -7,24 +7,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..kernels import powerflow as K
+from ..kernels.sparse import Matrix
 
 BASE_MVA = 100.0
 
 
 def case_of(buses: pd.DataFrame, branches: pd.DataFrame, z: float = 1.0) -> tuple[K.Case, np.ndarray]:
     """Buses (id, kind 1 pq 2 pv 3 slack, p, q in MW, vm) and branches (a, b, r, x in per unit)."""
-    ids = np.sort(buses["id"].to_numpy())
     buses = buses.sort_values("id")
-    at = {int(b): i for i, b in enumerate(ids)}
-    y = np.zeros((len(ids), len(ids)), complex)
-    for a, b, r, x in zip(branches.a, branches.b, branches.r, branches.x, strict=True):
-        if a == b or a not in at or b not in at or r * r + x * x <= 1e-12:
-            continue
-        g, i, j = 1 / complex(r, x), at[a], at[b]
-        y[i, i] += g
-        y[j, j] += g
-        y[i, j] -= g
-        y[j, i] -= g
+    ids = buses["id"].to_numpy()
+    r, x = branches.r.to_numpy(float), branches.x.to_numpy(float)
+    ends = [branches[c].to_numpy() for c in ("a", "b")]
+    i, j = (np.maximum(np.searchsorted(ids, e, "right") - 1, 0) for e in ends)
+    ok = (ends[0] != ends[1]) & (ids[i] == ends[0]) & (ids[j] == ends[1]) & ~(r * r + x * x <= 1e-12)
+    i, j, g = i[ok], j[ok], 1 / (r[ok] + 1j * x[ok])
+    y = Matrix((len(ids), len(ids)), np.c_[i, j, i, j].ravel(), np.c_[i, j, j, i].ravel(), np.c_[g, g, -g, -g].ravel())
     kind = buses["kind"].to_numpy()
     pick = lambda k: np.flatnonzero(kind == k)
     s = (buses.p.to_numpy() + 1j * buses.q.to_numpy()) * z / BASE_MVA
