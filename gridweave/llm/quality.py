@@ -2,13 +2,13 @@
 
 Text content: hashed words and hashed token shapes (case and attached punctuation) as shares of
 the text's tokens, repetition and character classes.  Page metadata: the record's language, source,
-declared length, size and line layout.  Each view has its own logistic classifier, fitted on a
-bounded sample of labelled documents (``per_class`` of each label, equal records once).  The pool
-of unlabelled documents grows with the input: every distinct text whose hash falls into one of
-``of_pool`` parts.  Over ``rounds``, each classifier scores the whole pool and hands the ``each``
-documents it is surest of to the other's training rows.  Both views are then calibrated, and their
-combination fitted, on labelled rows that neither was trained on.  Scoring reads every whole text
-once, without a shuffle.
+declared length, size and line layout.  Both are computed once for every row and stored.  Each view
+has its own logistic classifier, fitted on all labelled documents (equal records of one label once,
+those of one hash part in four held out); means, slopes and curvatures are summed by the tasks, so
+the driver holds matrices of the features only.  The pool is every distinct text of the unlabelled
+documents.  Over ``rounds``, each classifier scores the whole pool and hands the ``most`` documents
+it is surest of to the other's training rows.  Both views are then calibrated, and their
+combination fitted, on the labelled rows that were held out.
 
 Defined cases: a null text is an empty one, with no content and an empty layout; null language
 and source are values of their own; documents without labels are scored like all others; with
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, count
 
 import numpy as np
@@ -29,9 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import discard, shared_dir, stored, table
-from .toxicity import logistic
 
-PER_CLASS, OF_POOL, ROUNDS, EACH, SHARE = 3000, 4, 5, 200, 0.05
+ROUNDS, EACH, SHARE = 5, 200, 0.05
+#: Labelled rows of a task; up to LOCAL in all they are summed in the driver.
+TASK, LOCAL = 8192, 4096
+#: A Newton step below this is the last one of a fit; what is left is about its square.
+STEP = 1e-4
 WORDS, SHAPES, FIGURES, TAGS = 512, 256, 13, 64
 CACHE_ENTRIES = 100_000
 PLACES = re.compile(r"[^\W_]+")
@@ -65,7 +68,8 @@ def content(text: str, cache: dict) -> np.ndarray:
     same = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
     figures = [np.log1p(k), len(text) / k / 10, spaces / n, letters / n, upper / n, digits / n, marks / n, marks > 0.02 * n, upper > 0.2 * n, same / k, same > 0.05 * k, len(set(tokens)) / k, len(set(lines)) / len(lines)]
     shares = np.sqrt(np.bincount(flat, minlength=WORDS + SHAPES) / k)
-    return np.concatenate([shares, np.array(figures, float)]).astype(np.float32)
+    # in half precision, as they are stored
+    return np.minimum(np.concatenate([shares, np.array(figures, float)]), 60_000).astype(np.float16).astype(np.float32)
 
 
 def metadata(text: str, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
@@ -96,42 +100,157 @@ def inputs(docs: DataFrame) -> DataFrame:
 class View:
     """A logistic classifier over standardised features, with a calibration of its logit."""
 
-    def __init__(self, x: np.ndarray, ridge: float):
-        self.mean, self.scale, self.ridge = x.mean(0, dtype=float).astype(np.float32), (x.std(0, dtype=float) + 1e-3).astype(np.float32), ridge
-        self.calibration = np.array([1.0, 0.0])
+    def __init__(self, n: float, total: np.ndarray, squares: np.ndarray, ridge: float):
+        mean = total / n
+        self.mean, self.scale, self.ridge = mean.astype(np.float32), (np.sqrt(np.maximum(squares / n - mean**2, 0)) + 1e-3).astype(np.float32), ridge
+        self.b, self.calibration = np.zeros(len(mean) + 1), np.array([1.0, 0.0])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        self.b = logistic((x - self.mean) / self.scale, y, w, self.ridge)
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale @ self.b[:-1] + self.b[-1], -15, 15)
+        return np.clip(self.standard(x) @ self.b[:-1] + self.b[-1], -15, 15)
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return self.logit(x) * self.calibration[0] + self.calibration[1]
 
 
+#: Both views, labels, weights and which rows are held out, of some labelled rows.
+Chunk = tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]
+#: Features, labels and weights that a fit takes from a chunk.
+Taken = Callable[[Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+class Labelled:
+    """The labelled rows: y, held, a, b.  Sums over all of them, by the tasks or, where they are few, here."""
+
+    def __init__(self, rows: DataFrame, at: str, weight: dict[int, float], few: bool):
+        self.rows, self.at, self.weight, self.passes = rows, at, weight, count()
+        self.here = list(chunks([rows.toPandas()], weight)) if few else None
+
+    def total(self, of: Callable[[Chunk], list[np.ndarray]], shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+        if self.here is not None:
+            found = [summed(map(of, self.here), shapes)]
+        else:
+            weight, path = self.weight, f"{self.at}/sums-{next(self.passes)}"
+
+            def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield pd.DataFrame({"s": [summed(map(of, chunks(batches, weight)), shapes).tobytes()]})
+
+            def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                got = None
+                for s in chain.from_iterable(pdf.s for pdf in batches):
+                    got = np.frombuffer(s) if got is None else got + np.frombuffer(s)
+                yield pd.DataFrame({"s": [] if got is None else [got.tobytes()]})
+
+            parts = stored(self.rows.mapInPandas(part, "s binary"), path)
+            found = [np.frombuffer(r.s) for r in parts.coalesce(4).mapInPandas(add, "s binary").collect()]  # four rows at most
+            discard(self.rows.sparkSession, path)
+        flat, ends = np.sum(found, axis=0), np.cumsum([int(np.prod(x)) for x in shapes])
+        return [f.reshape(x) for f, x in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+
+def chunks(batches: Iterable[pd.DataFrame], weight: dict[int, float]) -> Iterator[Chunk]:
+    for pdf in batches:
+        for i in range(0, len(pdf), 1000):
+            part = pdf.iloc[i : i + 1000]
+            y = part.y.to_numpy(float)
+            yield matrices(part), y, np.where(y == 1, weight[1], weight[0]), part.held.to_numpy(bool)
+
+
+def summed(found: Iterable[list[np.ndarray]], shapes: list[tuple[int, ...]]) -> np.ndarray:
+    """The sums of arrays of these shapes, one after the other."""
+    out = [np.zeros(x) for x in shapes]
+    for each in found:
+        for a, b in zip(out, each, strict=True):
+            a += b
+    return np.concatenate([x.ravel() for x in out])
+
+
+def bent(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Curvature and slope of the weighted log-likelihood; single precision of the first costs steps only."""
+    x = np.c_[x, np.ones(len(x), x.dtype)]
+    wide = x.astype(float)
+    p = 1 / (1 + np.exp(-np.clip(wide @ b, -30, 30)))
+    single = x.astype(np.float32)
+    return [(single * (w * p * (1 - p)).astype(np.float32)[:, None]).T @ single, wide.T @ (w * (y - p))]
+
+
+def fitted_by(rows: Labelled, taken: list[Taken], start: list[np.ndarray], ridge: list[float], extra: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]) -> list[np.ndarray]:
+    """Newton steps of several ridge-penalised logistic regressions over all rows; the last coefficient is the constant."""
+    b, left = [x.copy() for x in start], list(range(len(start)))
+    for _ in range(50):
+        now = [(taken[k], b[k]) for k in left]
+        shapes = [x for _, c in now for x in ((len(c), len(c)), (len(c),))]
+        sums = rows.total(lambda chunk: list(chain.from_iterable(bent(*t(chunk), c) for t, c in now)), shapes)  # noqa: B023
+        steps = []
+        for i, k in enumerate(left):
+            curve, slope = sums[2 * i], sums[2 * i + 1]
+            if extra[k] is not None:
+                more = bent(*extra[k], b[k])
+                curve, slope = curve + more[0], slope + more[1]
+            pen = np.r_[np.full(len(b[k]) - 1, ridge[k]), 1e-6]
+            steps.append(np.linalg.solve(curve + np.diag(pen + 1e-9), slope - pen * b[k]))
+            b[k] = b[k] + steps[-1]
+        left = [k for k, step in zip(left, steps, strict=True) if np.abs(step).max() >= STEP]
+        if not left:
+            break
+    return b
+
+
 class CoTrained:
     def __init__(self, rate: float):
         self.rate, self.parts, self.blend = rate, None, None
 
-    def fit(self, xs: list[np.ndarray], y: np.ndarray, held: np.ndarray, weight: np.ndarray, surest: Surest, rounds: int) -> None:
+    def fit(self, rows: Labelled, surest: Surest, rounds: int, calibrate_on_all: bool) -> None:
         """``surest`` names, for each view, the pool's rows that the other one hands over now."""
-        fit = ~held
-        self.parts = [View(x[fit], r) for x, r in zip(xs, (30.0, 10.0), strict=True)]
+        widths = [WORDS + SHAPES + FIGURES, 6 + TAGS]
+
+        def moments(chunk: Chunk) -> list[np.ndarray]:
+            xs, fit = [x[~chunk[3]].astype(float) for x in chunk[0]], float((~chunk[3]).sum())
+            return [np.array([fit]), *chain.from_iterable((x.sum(0), (x * x).sum(0)) for x in xs)]
+
+        n, *m = rows.total(moments, [(1,), *((w,) for w in widths for _ in (0, 1))])
+        parts = self.parts = [View(n[0], m[0], m[1], 30.0), View(n[0], m[2], m[3], 10.0)]
+
+        def of(v: int) -> Taken:
+            part = parts[v]
+
+            def take(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                xs, y, w, held = chunk
+                return part.standard(xs[v][~held]), y[~held], w[~held]
+
+            return take
+
         taken: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]
         for step in range(rounds + 1):
-            for v, part in enumerate(self.parts):
+            extra = []
+            for v, part in enumerate(parts):
                 got = [taken[v][i] for i in sorted(taken[v])]
-                extra = np.array([x for x, _ in got], np.float32).reshape(len(got), xs[v].shape[1])
-                part.fit(np.r_[xs[v][fit], extra], np.r_[y[fit], [label for _, label in got]], np.r_[weight[fit], np.full(len(got), 0.5)])
+                extra.append((part.standard(np.array([x for x, _ in got], np.float32)), np.array([label for _, label in got]), np.full(len(got), 0.5)) if got else None)
+            # each round starts from the last one's coefficients
+            for part, b in zip(parts, fitted_by(rows, [of(0), of(1)], [p.b for p in parts], [p.ridge for p in parts], extra), strict=True):
+                part.b = b
             if step < rounds:
-                for v, new in enumerate(surest(self.parts, [set(t) for t in taken], self.rate)):
+                for v, new in enumerate(surest(parts, [set(t) for t in taken], self.rate)):
                     taken[v] |= new
-        at = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
-        for x, part in zip(xs, self.parts, strict=True):
-            part.calibration = logistic(part.logit(x[at])[:, None], y[at], weight[at], 0.01)
-        z = np.c_[self.parts[0].calibrated(xs[0][at]), self.parts[1].calibrated(xs[1][at])]
-        self.blend = logistic(z, y[at], weight[at], 0.1)
+
+        def judged(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            xs, y, w, held = chunk
+            at = held | calibrate_on_all
+            return np.c_[parts[0].calibrated(xs[0][at]), parts[1].calibrated(xs[1][at])].astype(float), y[at], w[at]
+
+        def one(v: int) -> Taken:
+            def take(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                z, y, w = judged(chunk)
+                return z[:, v : v + 1], y, w
+
+            return take
+
+        # nothing is calibrated yet: these are the plain logits
+        for part, c in zip(parts, fitted_by(rows, [one(0), one(1)], [np.zeros(2)] * 2, [0.01] * 2, [None] * 2), strict=True):
+            part.calibration = c
+        self.blend = fitted_by(rows, [judged], [np.zeros(3)], [0.1], [None])[0]
 
     def score(self, xs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.parts is None:
@@ -145,8 +264,8 @@ class CoTrained:
 Surest = Callable[[list[View], list[set[int]], float], list[dict[int, tuple[np.ndarray, float]]]]
 
 
-def featured(rows: DataFrame) -> DataFrame:
-    """h (hash of the text), y, doc_id and both views (a in half precision, b) of the rows."""
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), g (hash of the record) and both views (a in half precision, b) of every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
@@ -154,9 +273,11 @@ def featured(rows: DataFrame) -> DataFrame:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i : i + 1000]
                 a, b = views(part, cache)
-                yield pd.DataFrame({"h": part.h, "y": part.y, "doc_id": part.doc_id, "a": [x.tobytes() for x in a.astype(np.float16)], "b": [x.tobytes() for x in b]})
+                yield pd.DataFrame({"doc_id": part.doc_id, "h": part.h, "g": part.g, "a": [x.tobytes() for x in a.astype(np.float16)], "b": [x.tobytes() for x in b]})
 
-    return rows.mapInPandas(build, "h long, y int, doc_id long, a binary, b binary")
+    # ids go as strings: a null beside them would make them floats
+    rows = inputs(docs).withColumns({"doc_id": F.col("doc_id").cast("string"), "h": F.xxhash64("text"), "g": F.xxhash64("text", "lang", "source", "n_chars")})
+    return rows.mapInPandas(build, "doc_id string, h long, g long, a binary, b binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def matrices(found: pd.DataFrame) -> list[np.ndarray]:
@@ -205,42 +326,59 @@ def handing_over(pool: DataFrame, each: int, at: str) -> Surest:
     return surest
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, of_pool: int = OF_POOL, rounds: int = ROUNDS, most: int = EACH, share: float = SHARE) -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int = EACH, share: float = SHARE) -> CoTrained:
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
-    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("y"))
+    model = fitted(stored(featured(docs), f"{at}/features"), labels, rounds, most, share)
+    discard(spark, f"{at}/features")
+    return model
+
+
+def fitted(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int = EACH, share: float = SHARE) -> CoTrained:
+    """The model of all labelled rows and all unlabelled texts among ``features``, a stored table."""
+    spark, at = features.sparkSession, shared_dir(features.sparkSession)
+    y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("y"))
     have = {int(r.y): int(r.n) for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(have.values())
     model = CoTrained((have.get(1, 0) + 1) / (total + 2))
     if len(have) < 2:
         return model
-    order = [F.xxhash64(F.col("doc_id").cast("long")), "doc_id"]
-    chosen = y.where("y = 0").orderBy(*order).limit(per_class).union(y.where("y = 1").orderBy(*order).limit(per_class))
-    # bounded by the parameter: 2 * per_class rows of two numbers
-    wanted = stored(chosen.coalesce(1), f"{at}/wanted")
-    record = F.struct("doc_id", "text", "lang", "source", "n_chars")
-    # equal records of one label count once, so what reaches the driver is bounded too
-    once = inputs(docs).join(F.broadcast(wanted), "doc_id").groupBy("y", F.xxhash64("text", "lang", "source", "n_chars").alias("h")).agg(F.min(record).alias("r"))
-    found = featured(once.select("h", "y", "r.*")).toPandas().sort_values(["doc_id", "h"])
-    xs = matrices(found)
-    y_ = found.y.to_numpy(float)
-    if len(set(y_)) < 2:
+    known = features.where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "a", "b")).alias("r")
+    once = known.join(y, "doc_id").groupBy("y", "g").agg(first)  # equal records of one label count once
+    held = F.crc32(F.concat(F.lit("held "), F.col("r.doc_id").cast("string")).cast("binary")) % 4 == 0
+    rows = stored(once.select("y", held.alias("held"), "r.a", "r.b").repartition(-(-total // TASK)), f"{at}/labelled")
+    sizes = {(int(r.y), bool(r.held)): int(r.n) for r in rows.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    n = {v: sizes.get((v, False), 0) + sizes.get((v, True), 0) for v in (0, 1)}
+    if not n[0] or not n[1]:
+        discard(spark, f"{at}/labelled")
         return model
-    held = np.array([zlib.crc32(f"held {i}".encode()) % 4 == 0 for i in found.doc_id])
-    if len(set(y_[~held])) < 2:
-        held[:] = False
-    weight = np.where(y_ == 1, have[1] / max((y_ == 1).sum(), 1), have[0] / max((y_ == 0).sum(), 1))
-    h = F.xxhash64("text")
-    rows = inputs(docs).where(F.col("doc_id").isNotNull() & (F.pmod(h, F.lit(of_pool)) == 0)).withColumns({"h": h, "y": F.lit(None).cast("int")})
-    unlabelled = featured(rows).join(y.select("doc_id"), "doc_id", "left_anti")
-    pool = stored(unlabelled.groupBy("h").agg(F.min(F.struct("doc_id", "a", "b")).alias("r")).select("h", "r.a", "r.b"), f"{at}/pool")
-    n = pool.count()
-    surest = handing_over(pool, max(1, min(most, int(share * n))), at)
-    del found
-    model.fit(xs, y_, held, weight / weight.mean(), surest, rounds if n else 0)
-    discard(spark, f"{at}/pool")
+    if not sizes.get((0, False)) or not sizes.get((1, False)):
+        rows, sizes = rows.withColumn("held", F.lit(False)), {}
+    mean = total / (n[0] + n[1])
+    labelled = Labelled(rows, at, {v: have[v] / n[v] / mean for v in (0, 1)}, n[0] + n[1] <= LOCAL)
+    pool = stored(known.join(y, "doc_id", "left_anti").groupBy("h").agg(first).select("h", "r.a", "r.b"), f"{at}/pool")
+    texts = pool.count()
+    surest = handing_over(pool, max(1, min(most, int(share * texts))), at)
+    model.fit(labelled, surest, rounds if texts else 0, not (sizes.get((0, True)) and sizes.get((1, True))))
+    discard(spark, f"{at}/pool", f"{at}/labelled")
     return model
 
 
+def judged(features: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, score (probability of good), content_score, metadata_score of stored features."""
+    held = features.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i : i + 1000]
+                both, a, b = held.value.score(matrices(part))
+                yield pd.DataFrame({"doc_id": part.doc_id, "score": both, "content_score": a, "metadata_score": b})
+
+    rows = features.select(F.col("doc_id").cast("string").alias("doc_id"), "a", "b")
+    return rows.mapInPandas(score, "doc_id string, score double, content_score double, metadata_score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, score (probability of good), content_score, metadata_score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -276,5 +414,5 @@ def good(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, train(docs, table(spark, sf_dir, "labels"))).withColumn("kept", F.col("score") >= 0.5)
+    features = stored(featured(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/features")
+    return judged(features, fitted(features, table(spark, sf_dir, "labels"))).withColumn("kept", F.col("score") >= 0.5)

@@ -56,3 +56,27 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality.scored(d, quality.train(d, none)).collect()] == [0.5]
     assert quality.scored(d.limit(0), quality.train(d.limit(0), none)).count() == 0
+
+
+def test_every_label_and_every_unlabelled_text_counts(spark, monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["ab", "cd", "ef", "GH", "i!"]) for _ in range(rng.randint(2, 9))) + f" {i}", "en", f"s{i % 3}", 9, 0.0) for i in range(4200)]
+    docs += [(5000 + i, docs[i][1], "en", "s", 9, 0.0) for i in range(4000, 4100)]  # the pool's copies
+    labels = [(i, int(i % 20 > 0), 0) for i in range(4000)]  # 3800 good ones
+    pools, plain = [], quality.handing_over
+    monkeypatch.setattr(quality, "handing_over", lambda pool, each, at: pools.append(pool.count()) or plain(pool, each, at))
+    d, y = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(d, y, rounds=1)
+    assert pools == [200]
+    held = np.array([quality.zlib.crc32(f"held {i}".encode()) % 4 == 0 for i in range(4000)])
+    for part, x in zip(model.parts, quality.views(pd.DataFrame(docs[:4000], columns=[c.split()[0] for c in SCHEMA.split(", ")]), {}), strict=True):
+        assert np.allclose(part.mean, x[~held].mean(0, dtype=float), atol=1e-5)
+    # summed by tasks: the same model
+    monkeypatch.setattr(quality, "LOCAL", 0)
+    monkeypatch.setattr(quality, "TASK", 1500)
+    other = quality.train(d, y, rounds=1)
+    for a, b in zip(model.parts, other.parts, strict=True):
+        assert np.allclose(a.b, b.b, atol=1e-5) and np.allclose(a.calibration, b.calibration, atol=1e-4)
+    assert np.allclose(model.blend, other.blend, atol=1e-4)
