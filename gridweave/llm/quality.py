@@ -6,8 +6,9 @@ declared length, size and line layout.  Both are computed once for every row and
 has its own logistic classifier, fitted on all labelled documents (equal records of one label once,
 those of one hash part in four held out); means, slopes and curvatures are summed by the tasks, so
 the driver holds matrices of the features only.  The pool is every distinct text of the unlabelled
-documents.  Over ``rounds``, each classifier scores the whole pool and hands the ``most`` documents
-it is surest of to the other's training rows.  Both views are then calibrated, and their
+documents.  Which rows these are is settled on ids and hashes; the features meet them in one merge
+join, whatever their number.  Over ``rounds``, each classifier scores the whole pool and hands the
+``most`` documents it is surest of to the other's training rows; every task sends on only its best.  Both views are then calibrated, and their
 combination fitted, on the labelled rows that were held out.
 
 Defined cases: a null text is an empty one, with no content and an empty layout; null language
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import discard, shared_dir, stored, table
 
 ROUNDS, EACH, SHARE = 5, 200, 0.05
-#: Labelled rows of a task; up to LOCAL in all they are summed in the driver.
-TASK, LOCAL = 8192, 4096
+#: Up to LOCAL labelled rows in all are summed in the driver; else the sums of the tasks meet in GATHER ones.
+LOCAL, GATHER = 4096, 4
+#: Labelled rows that a task sums at least.
+TASK = 8192
 #: A Newton step below this is the last one of a fit; what is left is about its square.
 STEP = 1e-4
 WORDS, SHAPES, FIGURES, TAGS = 512, 256, 13, 64
@@ -119,52 +122,93 @@ class View:
 Chunk = tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]
 #: Features, labels and weights that a fit takes from a chunk.
 Taken = Callable[[Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: The chunks that batches of stored rows hold.
+Chunks = Callable[[Iterable[pd.DataFrame]], Iterator]
 
 
 class Labelled:
-    """The labelled rows: y, held, a, b.  Sums over all of them, by the tasks or, where they are few, here."""
+    """Stored rows and the chunks they make.  Sums over all of them, by the tasks or, where they are few, here."""
 
-    def __init__(self, rows: DataFrame, at: str, weight: dict[int, float], few: bool):
-        self.rows, self.at, self.weight, self.passes = rows, at, weight, count()
-        self.here = list(chunks([rows.toPandas()], weight)) if few else None
+    def __init__(self, rows: DataFrame, chunks: Chunks, few: bool):
+        self.rows, self.chunks = rows, chunks
+        self.here = list(chunks([rows.toPandas()])) if few else None
 
-    def total(self, of: Callable[[Chunk], list[np.ndarray]], shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    def total(self, of: Callable[..., list[np.ndarray]], shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
         if self.here is not None:
-            found = [summed(map(of, self.here), shapes)]
-        else:
-            weight, path = self.weight, f"{self.at}/sums-{next(self.passes)}"
+            return summed(map(of, self.here), shapes) or [np.zeros(x) for x in shapes]
+        chunks = self.chunks
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = summed(map(of, chunks(batches)), shapes)
+            yield pd.DataFrame({"s": [packed(got)] if got else []})
 
-            def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                yield pd.DataFrame({"s": [summed(map(of, chunks(batches, weight)), shapes).tobytes()]})
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = summed((unpacked(s, shapes) for pdf in batches for s in pdf.s), shapes)
+            yield pd.DataFrame({"s": [packed(got)] if got else []})
 
-            def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                got = None
-                for s in chain.from_iterable(pdf.s for pdf in batches):
-                    got = np.frombuffer(s) if got is None else got + np.frombuffer(s)
-                yield pd.DataFrame({"s": [] if got is None else [got.tobytes()]})
+        sums = self.rows.mapInPandas(part, "s binary").repartition(GATHER).mapInPandas(add, "s binary")
+        return summed((unpacked(r.s, shapes) for r in sums.collect()), shapes) or [np.zeros(x) for x in shapes]
 
-            parts = stored(self.rows.mapInPandas(part, "s binary"), path)
-            found = [np.frombuffer(r.s) for r in parts.coalesce(4).mapInPandas(add, "s binary").collect()]  # four rows at most
-            discard(self.rows.sparkSession, path)
-        flat, ends = np.sum(found, axis=0), np.cumsum([int(np.prod(x)) for x in shapes])
-        return [f.reshape(x) for f, x in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+    def logits(self, of: Taken, path: str) -> Labelled:
+        """The same over two figures, a label and a weight of each row that ``of`` takes, stored without the features."""
+        out = Labelled(self.rows, plain, False)
+        if self.here is not None:
+            out.here = list(map(of, self.here))
+            return out
+        chunks = self.chunks
 
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for z, y, w in map(of, chunks(batches)):
+                yield pd.DataFrame({"z0": z[:, 0], "z1": z[:, 1], "y": y, "w": w})
 
-def chunks(batches: Iterable[pd.DataFrame], weight: dict[int, float]) -> Iterator[Chunk]:
+        out.rows = stored(self.rows.mapInPandas(part, "z0 double, z1 double, y double, w double"), path)
+        return out
+
+
+def plain(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for pdf in batches:
-        for i in range(0, len(pdf), 1000):
-            part = pdf.iloc[i : i + 1000]
-            y = part.y.to_numpy(float)
-            yield matrices(part), y, np.where(y == 1, weight[1], weight[0]), part.held.to_numpy(bool)
+        yield pdf[["z0", "z1"]].to_numpy(float), pdf.y.to_numpy(float), pdf.w.to_numpy(float)
 
 
-def summed(found: Iterable[list[np.ndarray]], shapes: list[tuple[int, ...]]) -> np.ndarray:
-    """The sums of arrays of these shapes, one after the other."""
-    out = [np.zeros(x) for x in shapes]
+def weighted(weight: dict[int, float]) -> Chunks:
+    def chunks(batches: Iterable[pd.DataFrame]) -> Iterator[Chunk]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i : i + 1000]
+                y = part.y.to_numpy(float)
+                yield matrices(part), y, np.where(y == 1, weight[1], weight[0]), part.held.to_numpy(bool)
+
+    return chunks
+
+
+def summed(found: Iterable[list[np.ndarray]], shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """The sums of arrays of these shapes; nothing of nothing."""
+    out: list[np.ndarray] = []
     for each in found:
+        out = out or [np.zeros(x) for x in shapes]
         for a, b in zip(out, each, strict=True):
             a += b
-    return np.concatenate([x.ravel() for x in out])
+    return out
+
+
+def packed(sums: list[np.ndarray]) -> bytes:
+    """Of matrices, which are symmetric, the upper triangle in single precision."""
+    return b"".join(x[np.triu_indices(len(x))].astype(np.float32).tobytes() if x.ndim == 2 else x.tobytes() for x in sums)
+
+
+def unpacked(raw: bytes, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    out, at = [], 0
+    for shape in shapes:
+        if len(shape) == 2:
+            upper = np.triu_indices(shape[0])
+            x = np.zeros(shape)
+            x[upper] = x.T[upper] = np.frombuffer(raw, np.float32, len(upper[0]), at)
+            at += 4 * len(upper[0])
+        else:
+            x = np.frombuffer(raw, np.float64, shape[0], at)
+            at += 8 * shape[0]
+        out.append(x)
+    return out
 
 
 def bent(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
@@ -172,8 +216,8 @@ def bent(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> list[np.
     x = np.c_[x, np.ones(len(x), x.dtype)]
     wide = x.astype(float)
     p = 1 / (1 + np.exp(-np.clip(wide @ b, -30, 30)))
-    single = x.astype(np.float32)
-    return [(single * (w * p * (1 - p)).astype(np.float32)[:, None]).T @ single, wide.T @ (w * (y - p))]
+    single = x.astype(np.float32) * np.sqrt(w * p * (1 - p)).astype(np.float32)[:, None]
+    return [single.T @ single, wide.T @ (w * (y - p))]
 
 
 def fitted_by(rows: Labelled, taken: list[Taken], start: list[np.ndarray], ridge: list[float], extra: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]) -> list[np.ndarray]:
@@ -202,7 +246,7 @@ class CoTrained:
     def __init__(self, rate: float):
         self.rate, self.parts, self.blend = rate, None, None
 
-    def fit(self, rows: Labelled, surest: Surest, rounds: int, calibrate_on_all: bool) -> None:
+    def fit(self, rows: Labelled, surest: Surest, rounds: int, calibrate_on_all: bool, at: str) -> None:
         """``surest`` names, for each view, the pool's rows that the other one hands over now."""
         widths = [WORDS + SHAPES + FIGURES, 6 + TAGS]
 
@@ -237,20 +281,19 @@ class CoTrained:
 
         def judged(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             xs, y, w, held = chunk
-            at = held | calibrate_on_all
-            return np.c_[parts[0].calibrated(xs[0][at]), parts[1].calibrated(xs[1][at])].astype(float), y[at], w[at]
+            here = held | calibrate_on_all
+            return np.c_[parts[0].logit(xs[0][here]), parts[1].logit(xs[1][here])].astype(float), y[here], w[here]
 
-        def one(v: int) -> Taken:
-            def take(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                z, y, w = judged(chunk)
-                return z[:, v : v + 1], y, w
+        logits = rows.logits(judged, f"{at}/held")
 
-            return take
+        def one(v: int) -> Taken:
+            return lambda chunk: (chunk[0][:, v : v + 1], chunk[1], chunk[2])
 
-        # nothing is calibrated yet: these are the plain logits
-        for part, c in zip(parts, fitted_by(rows, [one(0), one(1)], [np.zeros(2)] * 2, [0.01] * 2, [None] * 2), strict=True):
+        for part, c in zip(parts, fitted_by(logits, [one(0), one(1)], [np.array([1.0, 0.0])] * 2, [0.01] * 2, [None] * 2), strict=True):
             part.calibration = c
-        self.blend = fitted_by(rows, [judged], [np.zeros(3)], [0.1], [None])[0]
+        by, to = np.array([p.calibration for p in parts]).T
+        self.blend = fitted_by(logits, [lambda chunk: (chunk[0] * by + to, chunk[1], chunk[2])], [np.array([0.5, 0.5, 0.0])], [0.1], [None])[0]
+        discard(rows.rows.sparkSession, f"{at}/held")
 
     def score(self, xs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.parts is None:
@@ -265,7 +308,7 @@ Surest = Callable[[list[View], list[set[int]], float], list[dict[int, tuple[np.n
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), g (hash of the record) and both views (a in half precision, b) of every row."""
+    """doc_id, k (a number of the row), h (hash of the text), g (hash of the record) and both views (a in half precision, b) of every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
@@ -273,54 +316,62 @@ def featured(docs: DataFrame) -> DataFrame:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i : i + 1000]
                 a, b = views(part, cache)
-                yield pd.DataFrame({"doc_id": part.doc_id, "h": part.h, "g": part.g, "a": [x.tobytes() for x in a.astype(np.float16)], "b": [x.tobytes() for x in b]})
+                yield pd.DataFrame({"doc_id": part.doc_id, "k": part.k, "h": part.h, "g": part.g, "a": [x.tobytes() for x in a.astype(np.float16)], "b": [x.tobytes() for x in b]})
 
     # ids go as strings: a null beside them would make them floats
-    rows = inputs(docs).withColumns({"doc_id": F.col("doc_id").cast("string"), "h": F.xxhash64("text"), "g": F.xxhash64("text", "lang", "source", "n_chars")})
-    return rows.mapInPandas(build, "doc_id string, h long, g long, a binary, b binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = inputs(docs).withColumns({"doc_id": F.col("doc_id").cast("string"), "h": F.xxhash64("text"), "g": F.xxhash64("text", "lang", "source", "n_chars"), "k": F.monotonically_increasing_id()})
+    return rows.mapInPandas(build, "doc_id string, k long, h long, g long, a binary, b binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def matrices(found: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(found[c]), t).astype(np.float32).reshape(len(found), -1) for c, t in (("a", np.float16), ("b", np.float32))]
 
 
-def handing_over(pool: DataFrame, each: int, at: str) -> Surest:
-    """Scores of the whole pool by both views; at most ``each`` documents a view and round reach the driver."""
-    spark = pool.sparkSession
-    steps = count()
+def handing_over(pool: DataFrame, each: int, gather: int) -> Surest:
+    """Scores of the whole pool by both views; at most ``gather * each`` documents a view and round reach the driver."""
 
     def surest(parts: list[View], taken: list[set[int]], rate: float) -> list[dict[int, tuple[np.ndarray, float]]]:
-        def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        good = max(1, round(each * rate))
+        most = {1: good, 0: max(1, each - good)}
+
+        def best(found: pd.DataFrame) -> pd.DataFrame:
+            """The surest of each view and label."""
+            found = found.sort_values(["to", "label", "sure", "h"], ascending=[True, True, False, True], kind="stable")
+            return found[found.groupby(["to", "label"]).cumcount() < found.label.map(most)]
+
+        def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for i in range(0, len(pdf), 1000):
                     part = pdf.iloc[i : i + 1000]
-                    z = [p.logit(x) for p, x in zip(parts, matrices(part), strict=True)]
-                    # a view is not asked again about what it has handed over
-                    yield pd.DataFrame({"h": part.h, "z0": z[0], "z1": z[1], "free0": ~part.h.isin(taken[1]), "free1": ~part.h.isin(taken[0])})
-
-        path = f"{at}/logits-{next(steps)}"
-        z = stored(pool.mapInPandas(logits, "h long, z0 double, z1 double, free0 boolean, free1 boolean"), path)
-        good, wanted = max(1, round(each * rate)), None
-        for v in (0, 1):
-            free = z.where(f"free{v}")
-            # only decided cases are handed over
-            for label, n, order in ((1, good, F.desc(f"z{v}")), (0, max(1, each - good), F.asc(f"z{v}"))):
-                decided = free.where(F.col(f"z{v}") > 1.5 if label else F.col(f"z{v}") < -1.5)
-                top = decided.orderBy(order, "h").limit(n).select("h", F.lit(1 - v).alias("to"), F.lit(float(label)).alias("label"))
-                wanted = top if wanted is None else wanted.union(top)
-        chosen = wanted.collect()
-        discard(spark, path)
-        names = {int(r.h) for r in chosen}
-
-        def picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[pdf.h.isin(names)]
-
-        found = pool.select("h", "a", "b").mapInPandas(picked, "h long, a binary, b binary").toPandas() if chosen else pd.DataFrame({"h": [], "a": [], "b": []})
-        place, xs = {int(h): i for i, h in enumerate(found.h)}, matrices(found) if len(found) else []
+                    xs = matrices(part)
+                    for v in (0, 1):
+                        z = parts[v].logit(xs[v])
+                        # only decided cases are handed over, and a view is not asked again about what it has handed over
+                        at = np.flatnonzero((np.abs(z) > 1.5) & ~part.h.isin(taken[1 - v]).to_numpy())
+                        row = part.iloc[at]
+                        yield pd.DataFrame({"h": row.h, "to": 1 - v, "label": (z[at] > 0).astype(int), "sure": np.abs(z[at]), "x": row["ba"[v]]})
+
+        def chosen(found: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+            kept = None
+            for more in found:
+                if len(more):
+                    kept = best(more if kept is None else pd.concat([kept, more]))
+            return kept
+
+        def sends(of: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+            def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                kept = chosen(of(batches))
+                if kept is not None:
+                    yield kept
+
+            return send
+
+        columns = "h long, to int, label int, sure double, x binary"
+        found = pool.select("h", "a", "b").mapInPandas(sends(decided), columns).repartition(gather).mapInPandas(sends(lambda batches: batches), columns)
+        kept = chosen(iter([found.toPandas()]))
         out: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]
-        for r in chosen:
-            out[r.to][int(r.h)] = (xs[r.to][place[int(r.h)]], r.label)
+        for r in [] if kept is None else kept.itertuples():
+            out[r.to][int(r.h)] = (np.frombuffer(r.x, (np.float16, np.float32)[r.to]).astype(np.float32), float(r.label))
         return out
 
     return surest
@@ -342,25 +393,27 @@ def fitted(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: i
     model = CoTrained((have.get(1, 0) + 1) / (total + 2))
     if len(have) < 2:
         return model
-    known = features.where("doc_id is not null")
-    first = F.min(F.struct("doc_id", "a", "b")).alias("r")
-    once = known.join(y, "doc_id").groupBy("y", "g").agg(first)  # equal records of one label count once
+    # on ids and hashes: equal records of one label count once, as do equal texts of the pool
+    known = features.where("doc_id is not null").select("doc_id", "k", "h", "g").join(y.hint("merge"), "doc_id", "left")
+    once = known.groupBy("y", F.when(F.col("y").isNull(), F.col("h")).otherwise(F.col("g")).alias("same")).agg(F.min(F.struct("doc_id", "g", "k")).alias("r"))
     held = F.crc32(F.concat(F.lit("held "), F.col("r.doc_id").cast("string")).cast("binary")) % 4 == 0
-    rows = stored(once.select("y", held.alias("held"), "r.a", "r.b").repartition(-(-total // TASK)), f"{at}/labelled")
-    sizes = {(int(r.y), bool(r.held)): int(r.n) for r in rows.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
-    n = {v: sizes.get((v, False), 0) + sizes.get((v, True), 0) for v in (0, 1)}
+    roles = stored(once.select("r.k", "y", held.alias("held")), f"{at}/roles")
+    sizes = {(r.y if r.y is None else int(r.y), bool(r.held)): int(r.n) for r in roles.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    n = {v: sizes.get((v, False), 0) + sizes.get((v, True), 0) for v in (0, 1, None)}
     if not n[0] or not n[1]:
-        discard(spark, f"{at}/labelled")
+        discard(spark, f"{at}/roles")
         return model
+    # the plan does not change with the size
+    used = stored(features.select("k", "h", "a", "b").join(roles.hint("merge"), "k").select("h", "y", "held", "a", "b", F.col("y").isNull().alias("free")), f"{at}/used", "free")
+    discard(spark, f"{at}/roles")
+    pool, rows = used.where("free").select("h", "a", "b"), used.where("not free").select("y", "held", "a", "b").coalesce(-(-(n[0] + n[1]) // TASK))
     if not sizes.get((0, False)) or not sizes.get((1, False)):
         rows, sizes = rows.withColumn("held", F.lit(False)), {}
     mean = total / (n[0] + n[1])
-    labelled = Labelled(rows, at, {v: have[v] / n[v] / mean for v in (0, 1)}, n[0] + n[1] <= LOCAL)
-    pool = stored(known.join(y, "doc_id", "left_anti").groupBy("h").agg(first).select("h", "r.a", "r.b"), f"{at}/pool")
-    texts = pool.count()
-    surest = handing_over(pool, max(1, min(most, int(share * texts))), at)
-    model.fit(labelled, surest, rounds if texts else 0, not (sizes.get((0, True)) and sizes.get((1, True))))
-    discard(spark, f"{at}/pool", f"{at}/labelled")
+    labelled = Labelled(rows, weighted({v: have[v] / n[v] / mean for v in (0, 1)}), n[0] + n[1] <= LOCAL)
+    surest = handing_over(pool, max(1, min(most, int(share * n[None]))), GATHER)
+    model.fit(labelled, surest, rounds if n[None] else 0, not (sizes.get((0, True)) and sizes.get((1, True))), at)
+    discard(spark, f"{at}/used")
     return model
 
 

@@ -80,3 +80,31 @@ def test_every_label_and_every_unlabelled_text_counts(spark, monkeypatch):
     for a, b in zip(model.parts, other.parts, strict=True):
         assert np.allclose(a.b, b.b, atol=1e-5) and np.allclose(a.calibration, b.calibration, atol=1e-4)
     assert np.allclose(model.blend, other.blend, atol=1e-4)
+
+
+def test_sums_travel_as_upper_triangles():
+    rng = np.random.default_rng(1)
+    x, y, w = rng.normal(size=(400, 30)), rng.integers(0, 2, 400).astype(float), rng.uniform(0.5, 2, 400)
+    b = rng.normal(size=31) / 10
+    found, shapes = quality.bent(x, y, w, b), [(31, 31), (31,)]
+    wide = np.c_[x, np.ones(400)]
+    p = 1 / (1 + np.exp(-wide @ b))
+    raw = quality.packed(quality.summed([found], shapes))
+    assert len(raw) == 31 * 32 // 2 * 4 + 31 * 8  # a good quarter of two full matrices of doubles
+    curve, slope = quality.unpacked(raw, shapes)
+    assert np.allclose(curve, (wide * (w * p * (1 - p))[:, None]).T @ wide, rtol=1e-5, atol=1e-4) and np.allclose(slope, wide.T @ (w * (y - p)))
+    assert quality.summed([], shapes) == []  # a task without rows sends nothing
+
+
+def test_jobs_of_a_fit_and_no_wide_join_by_broadcast(spark, monkeypatch):
+    """The driver's memory grew with the jobs: two for every Newton step, three for every round."""
+    docs, good = make(400, 8)
+    docs += [(1000 + i, *docs[i][1:]) for i in range(50)]  # copies count once
+    labels = [(i, good[i], 0) for i in range(200)] + [(1000, good[0], 0)]
+    monkeypatch.setattr(quality, "LOCAL", 0)
+    written, plain, passes, total = [], quality.stored, [], quality.Labelled.total
+    monkeypatch.setattr(quality, "stored", lambda df, path, *by: written.append(path.rsplit("/", 1)[1]) or plain(df, path, *by))
+    monkeypatch.setattr(quality.Labelled, "total", lambda self, *x: passes.append(self.rows.count()) or total(self, *x))
+    quality.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert written == ["features", "roles", "used", "held"]
+    assert passes[0] == 200 and 0 < passes[-1] < 80 and set(passes) == {passes[0], passes[-1]}  # calibration reads held-out logits only
