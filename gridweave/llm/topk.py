@@ -55,7 +55,8 @@ class Index:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         n, self.wide = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
+        # a segment's rows lie side by side
+        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T, np.int32)
         dims, levels, starts, stops = [], [], [], []
         for d in range(self.wide):
             level = rows[self.order[d], d] >> SHIFT
@@ -94,21 +95,23 @@ class Index:
         exact_error = int(np.abs(weight).sum()) * ((1 << SHIFT) - 1)
         acc = np.zeros(n)
         size = self.stops - self.starts
-        ends = np.cumsum(size[turn])
+        ends, order = np.cumsum(size[turn]), self.order.ravel()
+        first, last = self.dims * n + self.starts, self.dims * n + self.stops
         at = 0
         while at < len(turn):
             stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max(1, ends[-1] // STEPS), "left")) + 1
             now = turn[at:stop]
-            rows = np.concatenate([self.order[d, s:e] for d, s, e in zip(self.dims[now], self.starts[now], self.stops[now], strict=True)])
+            rows = np.concatenate([order[s:e] for s, e in zip(first[now].tolist(), last[now].tolist(), strict=True)])
             acc += np.bincount(rows, np.repeat(floor[now].astype(float), size[now]), n)
-            at = stop
+            at = min(stop, len(turn))
             rest = np.zeros(self.wide)
             np.maximum.at(rest, self.dims[turn[at:]], impact[turn[at:]].astype(float))
             left = float(rest.sum())
             if possible.sum() > k:
                 best = np.partition(acc[possible], -k)[-k] - left
                 possible &= acc + left + exact_error >= best
-            if possible.sum() <= max(4 * k, n // 64):
+            # what is left to process costs more than the exact scores of all that are still possible
+            if possible.sum() <= max(4 * k, n // 64, (ends[-1] - ends[at - 1]) // self.wide):
                 break
         places = np.flatnonzero(possible)
         return places, self.rows[places] @ weight

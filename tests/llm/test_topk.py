@@ -34,3 +34,12 @@ def test_against_brute_force(spark):
 def test_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, df).count() == 0
+
+
+def test_rows_of_a_segment_lie_side_by_side():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-100, 100, (500, 7))
+    index = Index(np.arange(500), rows)
+    assert index.order.flags.c_contiguous
+    for d, level, s, e in zip(index.dims, index.levels, index.starts, index.stops, strict=True):
+        assert sorted(index.order[d, s:e]) == np.flatnonzero(rows[:, d] >> 3 == level).tolist()
