@@ -38,6 +38,8 @@ LOCAL, GATHER = 4096, 4
 TASK = 8192
 #: A Newton step below this is the last one of a fit; what is left is about its square.
 STEP = 1e-4
+#: No coefficient moves by more in a step, and a step gains at least this share of what the slope promises, or a part of it is taken.
+LEAP, GAIN = 4.0, 1e-4
 WORDS, SHAPES, FIGURES, TAGS = 512, 256, 13, 64
 CACHE_ENTRIES = 100_000
 PLACES = re.compile(r"[^\W_]+")
@@ -220,26 +222,61 @@ def bent(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> list[np.
     return [single.T @ single, wide.T @ (w * (y - p))]
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The weighted log-likelihood, alone in an array."""
+    z = x @ b[:-1] + b[-1]
+    return np.array([-(w * np.logaddexp(0, np.where(y > 0.5, -z, z))).sum()])
+
+
+class Climb:
+    """Newton steps up a ridge-penalised log-likelihood from ``b``, the best point so far; ``at`` is where sums are wanted next.
+
+    A whole step may lead down, and then further away with every step, where rows are judged with
+    too much confidence and wrongly: as their curvature is nothing, steps become too long.
+    """
+
+    def __init__(self, start: np.ndarray, ridge: float):
+        self.b, self.at, self.done = start.copy(), start.copy(), False
+        self.pen = np.r_[np.full(len(start) - 1, ridge), 1e-6]
+        self.value, self.step, self.promise = -np.inf, np.zeros(len(start)), 0.0
+
+    def go(self, curve: np.ndarray, slope: np.ndarray, value: float) -> None:
+        """The sums at ``at``: on from there, or back half of the way."""
+        value -= float(self.pen @ self.at**2) / 2
+        # sums of many rows are off by their last digits
+        if value < self.value + GAIN * self.promise - 1e-10 * abs(self.value):
+            self.step, self.promise = self.step / 2, self.promise / 2
+            self.at = self.b + self.step
+            return
+        self.b, self.value, slope = self.at, value, slope - self.pen * self.at
+        step = np.linalg.solve(curve + np.diag(self.pen + 1e-9), slope)
+        longest = np.abs(step).max()
+        self.step = step * min(1.0, LEAP / longest) if longest else step
+        self.promise, self.at = float(slope @ self.step), self.b + self.step
+        if longest < STEP:
+            self.b, self.done = self.at, True
+
+
 def fitted_by(rows: Labelled, taken: list[Taken], start: list[np.ndarray], ridge: list[float], extra: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]) -> list[np.ndarray]:
-    """Newton steps of several ridge-penalised logistic regressions over all rows; the last coefficient is the constant."""
-    b, left = [x.copy() for x in start], list(range(len(start)))
-    for _ in range(50):
-        now = [(taken[k], b[k]) for k in left]
-        shapes = [x for _, c in now for x in ((len(c), len(c)), (len(c),))]
-        sums = rows.total(lambda chunk: list(chain.from_iterable(bent(*t(chunk), c) for t, c in now)), shapes)  # noqa: B023
-        steps = []
-        for i, k in enumerate(left):
-            curve, slope = sums[2 * i], sums[2 * i + 1]
-            if extra[k] is not None:
-                more = bent(*extra[k], b[k])
-                curve, slope = curve + more[0], slope + more[1]
-            pen = np.r_[np.full(len(b[k]) - 1, ridge[k]), 1e-6]
-            steps.append(np.linalg.solve(curve + np.diag(pen + 1e-9), slope - pen * b[k]))
-            b[k] = b[k] + steps[-1]
-        left = [k for k, step in zip(left, steps, strict=True) if np.abs(step).max() >= STEP]
+    """Several ridge-penalised logistic regressions over all rows; the last coefficient is the constant."""
+    climbs = [Climb(b, r) for b, r in zip(start, ridge, strict=True)]
+
+    def sums_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        return [*bent(x, y, w, b), likelihood(x, y, w, b)]
+
+    for _ in range(100):
+        left = [k for k, c in enumerate(climbs) if not c.done]
         if not left:
             break
-    return b
+        now = [(taken[k], climbs[k].at) for k in left]
+        shapes = [x for _, c in now for x in ((len(c), len(c)), (len(c),), (1,))]
+        sums = rows.total(lambda chunk: list(chain.from_iterable(sums_of(*t(chunk), c) for t, c in now)), shapes)  # noqa: B023
+        for i, k in enumerate(left):
+            found = sums[3 * i : 3 * i + 3]
+            if extra[k] is not None:
+                found = [a + b for a, b in zip(found, sums_of(*extra[k], climbs[k].at), strict=True)]
+            climbs[k].go(found[0], found[1], float(found[2][0]))
+    return [c.b for c in climbs]
 
 
 class CoTrained:

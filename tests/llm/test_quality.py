@@ -108,3 +108,20 @@ def test_jobs_of_a_fit_and_no_wide_join_by_broadcast(spark, monkeypatch):
     quality.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert written == ["features", "roles", "used", "held"]
     assert passes[0] == 200 and 0 < passes[-1] < 80 and set(passes) == {passes[0], passes[-1]}  # calibration reads held-out logits only
+
+
+def test_fits_end_at_the_best_point_from_where_whole_newton_steps_lead_away():
+    """Some confident and wrong logits sent the calibration to coefficients of 1e10: all rows kept, or none."""
+    rng = np.random.default_rng(7)
+    y = (rng.random(4000) < 0.86).astype(float)
+    z = np.clip(np.c_[rng.normal(9, 2, 4000), rng.normal(2, 1.5, 4000)] * np.where(y > 0, 1, -1)[:, None], -15, 15)
+    y[:60] = 1 - y[:60]
+    rows = quality.Labelled.__new__(quality.Labelled)
+    rows.here = [(z[i : i + 1000], y[i : i + 1000], np.ones(1000)) for i in range(0, 4000, 1000)]
+    one = lambda v: lambda c: (c[0][:, v : v + 1], c[1], c[2])
+    found = quality.fitted_by(rows, [one(0), one(1), lambda c: c], [np.array([1.0, 0.0])] * 2 + [np.array([2.0, 2.0, 0.0])], [0.01, 0.01, 0.1], [None] * 3)
+    for x, b, ridge in zip((z[:, :1], z[:, 1:], z), found, (0.01, 0.01, 0.1), strict=True):
+        wide = np.c_[x, np.ones(len(x))]
+        p = 1 / (1 + np.exp(-wide @ b))
+        assert np.abs(b).max() < 20 and np.abs(wide.T @ (y - p) - np.r_[[ridge] * x.shape[1], 1e-6] * b).max() < 0.1
+        assert ((p >= 0.5) == y).mean() > 0.9
