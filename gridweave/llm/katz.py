@@ -2,7 +2,7 @@
 
 The model is a bigram model over unigrams; the n-gram tables are what is large.  Tasks count in
 batches: a batch keeps its texts as numbered tokens and asks for each of its distinct n-grams
-once.  N-grams are named by 64-bit hashes and dealt by hash to buckets, as blocks of packed
+once.  N-grams are named by 64-bit hashes and dealt by ranges of them to buckets, as blocks of packed
 numbers, so that a frequent word or history is one number in one block and never a hot key.
 
 1. Batches send their n-grams with training counts; a bucket adds them up, writes its part of the
@@ -34,13 +34,15 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import discard, shared_dir, stored, table
 
-K, BATCH_TOKENS, BUCKET_GRAMS = 5, 2_000_000, 4_000_000
+#: An executor holds a batch or a bucket for each core, in Spark and in Python: their sizes bound its memory.
+K, BATCH_TOKENS, BUCKET_GRAMS, BATCH_ROWS = 5, 1_500_000, 2_000_000, 1000
 START, END = b" start", b" end"  # no word holds a blank
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,22 +55,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
 START_KEY = np.uint64(xxhash.xxh3_64_intdigest(START))
 
 
+def squeezed(b: bytes) -> bytes:
+    """The length, then zstd: shuffles compress without coding by frequency."""
+    return len(b).to_bytes(8, "little") + (pa.compress(b, "zstd", asbytes=True) if b else b"")
+
+
+def unsqueezed(b: bytes) -> bytes:
+    n = int.from_bytes(b[:8], "little")
+    return pa.decompress(b[8:], n, "zstd", asbytes=True) if n else b""
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte planes apart: the zero planes compress away."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeezed(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def keys_of(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(unsqueezed(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_numbers(n: np.ndarray) -> bytes:
+    """Byte planes of 32-bit numbers: the upper ones are mostly zero."""
+    return squeezed(np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def numbers_of(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(b), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending; each key's place among them; where each comes first."""
+    order = np.argsort(keys, kind="stable")
+    keys, new = keys[order], np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return keys[new], place, order[new]
 
 
 def pack_counts(n: np.ndarray) -> bytes:
     """One byte a count; larger ones follow with their places."""
     large = np.flatnonzero(n >= 255)
-    return np.int64(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + large.astype(np.int64).tobytes() + n[large].astype(np.int64).tobytes()
+    return squeezed(np.int64(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + large.astype(np.int64).tobytes() + n[large].astype(np.int64).tobytes())
 
 
 def counts_of(b: bytes) -> np.ndarray:
+    b = unsqueezed(b)
     n = int(np.frombuffer(b, np.int64, 1)[0])
     out, rest = np.frombuffer(b, np.uint8, n, 8).astype(np.int64), np.frombuffer(b[8 + n :], np.int64)
     out[rest[: len(rest) // 2]] = rest[len(rest) // 2 :]
@@ -76,19 +108,19 @@ def counts_of(b: bytes) -> np.ndarray:
 
 
 def pack_sums(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.T).tobytes()
+    return squeezed(np.ascontiguousarray(x.T).tobytes())
 
 
 def sums_of(b: bytes) -> np.ndarray:
-    return np.frombuffer(b).reshape(2, -1).T
+    return np.frombuffer(unsqueezed(b)).reshape(2, -1).T
 
 
 @contextlib.contextmanager
-def row_by_row(spark: SparkSession):
-    """Rows here are blocks of megabytes: Python gets them one at a time."""
+def rows_at_once(spark: SparkSession, rows: int = 1):
+    """What Python gets at a time: rows of megabytes one by one, texts not by ten thousands."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
@@ -110,7 +142,7 @@ def encode(docs: DataFrame, held: Callable[[int | None], bool]) -> DataFrame:
 
         def batch(number: dict, ids: list, flags: list, lens: list, parts: list) -> pd.DataFrame:
             vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, [START, END, *number]), np.uint64, len(number) + 2)
-            return pd.DataFrame({"batch": [f"{task}-{next(made)}"], "ids": [ids], "held": [flags], "lens": [lens], "vocab": [vocab.tobytes()], "tokens": [np.concatenate(parts).tobytes()]})
+            return pd.DataFrame({"batch": [f"{task}-{next(made)}"], "ids": [ids], "held": [flags], "lens": [lens], "vocab": [vocab.tobytes()], "tokens": [pack_numbers(np.concatenate(parts))]})
 
         state, total = fresh(), 0
         for pdf in frames:
@@ -141,13 +173,15 @@ class Batch:
     def __init__(self, r, buckets: int):
         self.name, self.buckets = r.batch, buckets
         self.lens = np.array(r.lens, np.int64)
-        self.vocab, self.tokens = np.frombuffer(r.vocab, np.uint64), np.frombuffer(r.tokens, np.uint32).astype(np.int64)
-        first = np.cumsum(self.lens) - self.lens
-        self.first = first
-        history = np.r_[0, self.tokens[:-1]] if len(self.tokens) else self.tokens
-        history[first] = 0
-        codes, self.pair = np.unique(history << 32 | self.tokens, return_inverse=True)
-        self.v, self.w = codes >> 32, codes & 0xFFFFFFFF
+        self.vocab, self.tokens = np.frombuffer(r.vocab, np.uint64), numbers_of(r.tokens)
+        self.first = np.cumsum(self.lens) - self.lens
+        codes = np.zeros(len(self.tokens), np.uint64)
+        codes[1:] = self.tokens[:-1]
+        codes[self.first] = 0
+        codes <<= np.uint64(32)
+        codes |= self.tokens
+        codes, self.pair, _ = distinct(codes)
+        self.v, self.w = (codes >> np.uint64(32)).astype(np.uint32), codes.astype(np.uint32)
         self.train = np.repeat(~np.array(r.held, bool), self.lens)
         self.keys = {"w": self.vocab, "p": mixed(mixed(self.vocab[self.v] * MIX) ^ self.vocab[self.w])}
 
@@ -161,9 +195,9 @@ class Batch:
     def places(self, gram: str) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket's n-grams by key, as places in the batch's own order."""
         order = np.argsort(self.keys[gram], kind="stable")
-        b = (self.keys[gram] >> np.uint64(33)) % np.uint64(self.buckets)
-        order = order[np.argsort(b[order], kind="stable")]
-        cut = np.searchsorted(b[order], np.arange(self.buckets + 1, dtype=np.uint64))
+        # a bucket is a range of keys: however many there are, the keys of a block lie close
+        b = (self.keys[gram][order] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+        cut = np.searchsorted(b, np.arange(self.buckets + 1, dtype=np.uint64))
         for i in range(self.buckets):
             if cut[i] < cut[i + 1]:
                 yield i, order[cut[i] : cut[i + 1]]
@@ -185,8 +219,8 @@ def questions(store: DataFrame, buckets: int) -> DataFrame:
                 b = Batch(r, buckets)
                 for gram in ("w", "p"):
                     n, keys = b.counts(gram), b.keys[gram]
-                    for i, at in b.places(gram):
-                        yield pd.DataFrame({"gram": [gram], "bucket": [i], "batch": [b.name], "keys": [pack_keys(keys[at])], "counts": [pack_counts(n[at])]})
+                    blocks = [(i, pack_keys(keys[at]), pack_counts(n[at])) for i, at in b.places(gram)]
+                    yield pd.DataFrame(blocks, columns=["bucket", "keys", "counts"]).assign(gram=gram, batch=b.name)[["gram", "bucket", "batch", "keys", "counts"]]
 
     return store.mapInPandas(ask, "gram string, bucket int, batch string, keys binary, counts binary")
 
@@ -198,15 +232,15 @@ def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket of one kind of n-gram: its part of the count table, its answers, its counts of counts."""
     gram, bucket = pdf.gram.iloc[0], int(pdf.bucket.iloc[0])
     pdf = pdf.sort_values("batch")
-    keys, first, place = np.unique(np.concatenate([keys_of(k) for k in pdf["keys"]]), return_index=True, return_inverse=True)
+    parts = [keys_of(k) for k in pdf["keys"]]
+    keys, place, first = distinct(np.concatenate(parts))
     total = np.bincount(place, np.concatenate([counts_of(c) for c in pdf.counts]), len(keys)).astype(np.int64)
     answer = total[place] * 2
     answer[first] += 1
     seen = total > 0
     rows = [("model", gram, bucket, None, pack_keys(keys[seen]), pack_counts(total[seen]), None, None)]
     at = 0
-    for batch, k in zip(pdf.batch, pdf["keys"], strict=True):
-        n = len(k) // 8
+    for batch, n in zip(pdf.batch, map(len, parts), strict=True):
         rows.append(("answer", gram, bucket, batch, None, pack_counts(answer[at : at + n]), None, None))
         at += n
     own = total[seen & ~((keys == START_KEY) & (gram == "w"))]
@@ -267,8 +301,8 @@ def sums(asked: DataFrame, estimates: Estimates, buckets: int) -> DataFrame:
                 own = (p & 1).astype(bool) & (p >> 1 > 0)
                 c, v = p[own] >> 1, b.v[own]
                 part = np.c_[np.bincount(v, estimates.discounted(c, estimates.dp), len(b.vocab)), np.bincount(v, estimates.unigram(w[b.w[own]]), len(b.vocab))]
-                for i, at in b.places("w"):
-                    yield pd.DataFrame({"gram": ["h"], "bucket": [i], "batch": [b.name], "keys": [pack_keys(b.vocab[at])], "sums": [pack_sums(part[at])]})
+                blocks = [(i, pack_keys(b.vocab[at]), pack_sums(part[at])) for i, at in b.places("w")]
+                yield pd.DataFrame(blocks, columns=["bucket", "keys", "sums"]).assign(gram="h", batch=b.name)[["gram", "bucket", "batch", "keys", "sums"]]
 
     return asked.mapInPandas(add, "gram string, bucket int, batch string, keys binary, sums binary")
 
@@ -279,14 +313,14 @@ SUMMED = "kind string, gram string, bucket int, batch string, keys binary, sums
 def add_histories(pdf: pd.DataFrame) -> pd.DataFrame:
     bucket = int(pdf.bucket.iloc[0])
     pdf = pdf.sort_values("batch")
-    keys, place = np.unique(np.concatenate([keys_of(k) for k in pdf["keys"]]), return_inverse=True)
-    parts = np.concatenate([sums_of(x) for x in pdf.sums])
-    total = np.c_[np.bincount(place, parts[:, 0], len(keys)), np.bincount(place, parts[:, 1], len(keys))]
+    parts = [keys_of(k) for k in pdf["keys"]]
+    keys, place, _ = distinct(np.concatenate(parts))
+    summed = np.concatenate([sums_of(x) for x in pdf.sums])
+    total = np.c_[np.bincount(place, summed[:, 0], len(keys)), np.bincount(place, summed[:, 1], len(keys))]
     seen = total[:, 0] > 0
     rows = [("model", "h", bucket, None, pack_keys(keys[seen]), pack_sums(total[seen]))]
     at = 0
-    for batch, k in zip(pdf.batch, pdf["keys"], strict=True):
-        n = len(k) // 8
+    for batch, n in zip(pdf.batch, map(len, parts), strict=True):
         rows.append(("answer", "h", bucket, batch, None, pack_sums(total[place[at : at + n]])))
         at += n
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMED.split(", ")])
@@ -323,21 +357,22 @@ def katz_scores(docs: DataFrame, held: Callable[[int | None], bool]) -> DataFram
     """Train on the rows that ``held`` (of doc_id) does not hold out; score every row."""
     spark = docs.sparkSession
     at = shared_dir(spark)
-    store = stored(encode(docs, held), f"{at}/batches")
-    tokens = store.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    with rows_at_once(spark, BATCH_ROWS):
+        store = stored(encode(docs, held), f"{at}/batches")
+    tokens = store.agg(F.sum(F.expr("aggregate(lens, 0L, (a, x) -> a + x)"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // BUCKET_GRAMS))
     counted = questions(store, buckets).groupBy("gram", "bucket").applyInPandas(add_up, COUNTED)
-    with row_by_row(spark):
+    with rows_at_once(spark):
         grams = stored(counted, f"{at}/counts", "kind")
     stats = {(r.gram, int(r.r)): int(r.n) for r in grams.where("kind = 'stats'").groupBy("gram", "r").agg(F.sum("n").alias("n")).collect()}
     estimates = Estimates(stats)
     answers = grams.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("gram", "bucket", "counts")).alias("answers"))
     asked = store.join(answers, "batch")
     summed = sums(asked, estimates, buckets).groupBy("gram", "bucket").applyInPandas(add_histories, SUMMED)
-    with row_by_row(spark):
+    with rows_at_once(spark):
         histories = stored(summed, f"{at}/histories", "kind")
     back = histories.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("gram", "bucket", "sums")).alias("histories"))
-    with row_by_row(spark):
+    with rows_at_once(spark):
         out = stored(score(asked.join(back, "batch"), estimates, buckets), f"{at}/scores")
     discard(spark, f"{at}/batches", f"{at}/counts/kind=answer", f"{at}/histories/kind=answer")
     return out

@@ -1,6 +1,11 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
 
 from gridweave.llm import katz
 
@@ -55,3 +60,22 @@ def test_of_nothing(spark):
     assert katz.katz_scores(spark.createDataFrame([], "doc_id long, text string"), lambda i: False).count() == 0
     rows = katz.katz_scores(spark.createDataFrame([(2, "a b")], "doc_id long, text string"), lambda i: True).collect()
     assert rows[0].n_known == 0 and rows[0].train_tokens == 0 and rows[0].score == 0
+
+
+def test_a_full_batch_and_its_blocks_are_small(spark):
+    """An executor holds one for each core: the memory of a batch's n-grams, and the bytes of a key however many the buckets."""
+    n = 100_000
+    text = " ".join(map(str, np.random.default_rng(1).zipf(1.3, n - 1) % 50_000))
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": [1], "text": [text]}))
+    r = SimpleNamespace(**katz.encode(df, lambda i: False).collect()[0].asDict())
+    tracemalloc.start()
+    b = katz.Batch(r, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(b.tokens) == n and peak / n * katz.BATCH_TOKENS < 100e6
+    blocks = list(b.places("p"))
+    assert sorted(np.concatenate([at for _, at in blocks]).tolist()) == list(range(len(b.v)))
+    # the upper bytes of the differences are empty
+    assert sum((np.diff(b.keys["p"][at]) >> np.uint64(48) > 12).sum() for _, at in blocks) < len(b.v) / 100
+    keys = np.sort(b.keys["p"])
+    assert (katz.keys_of(katz.pack_keys(keys)) == keys).all() and len(katz.pack_keys(keys)) < 6.7 * len(keys)
