@@ -54,8 +54,23 @@ LETTERS = re.compile(r"[^\W\d_]+")
 Pair = tuple[np.ndarray, np.ndarray]
 
 
+#: Characters known to be letters.
+KNOWN: set[str] = set()
+#: Different other characters of a text that are worth replacing one by one.
+OTHERS = 100
+
+
 def words_of(text: str | None) -> Counter:
-    return Counter(LETTERS.findall((text or "").lower()))
+    """The runs of ``LETTERS``, found by splitting where no letter is."""
+    text = (text or "").lower()
+    others = set(text) - KNOWN
+    KNOWN.update(letters := set(filter(LETTERS.fullmatch, others)))
+    others -= letters
+    if len(others) > OTHERS:
+        return Counter(LETTERS.findall(text))
+    for c in others:
+        text = text.replace(c, " ")
+    return Counter(text.split())
 
 
 def vector(text: str | None, number: dict[str, int]) -> Pair:
@@ -111,11 +126,16 @@ class BlockMaxIndex:
         often = np.flatnonzero(self.df >= max(GROUP, len(self.ids) * OFTEN))
         self.place = np.full(self.wide, -1, np.int32)
         self.place[often] = np.arange(len(often))
-        self.full = np.zeros((len(often), self.padded), np.float32)
         where = self.place[self.terms[turn]]
-        self.full[where[where >= 0], self.rows[where >= 0]] = self.posted[where >= 0]
+        rows = self.rows[where >= 0]
+        # block by block, so that what a query takes of one stays in the processor's cache
+        self.full = np.zeros((blocks, len(often), BLOCK), np.float32)
+        self.full[rows // BLOCK, where[where >= 0], rows % BLOCK] = self.posted[where >= 0]
+        self.taken = np.empty((len(often), BLOCK), np.float32)
+        self.whole = np.zeros(self.wide)
         self.rows, self.posted, cell = self.rows[where < 0], self.posted[where < 0], cell[where < 0]
         self.starts = np.searchsorted(cell, np.arange(self.wide * blocks + 1)).astype(np.int32)
+
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("ids", "labels", "ends", "terms", "weights", "wide")}
 
@@ -129,8 +149,13 @@ class BlockMaxIndex:
             return []
         if not hasattr(self, "rows"):
             self.build()
-        whole = np.zeros(self.wide)
-        whole[terms] = weights
+        self.whole[terms] = weights
+        try:
+            return self.search(terms, weights, k, skip)
+        finally:
+            self.whole[terms] = 0
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None) -> list[tuple[float, int, float]]:
         cheap = np.argsort(weights**2 / (1 + np.minimum(self.df[terms], GROUP * GROUP)), kind="stable")
         out = int(np.searchsorted(np.cumsum(weights[cheap] ** 2), SLACK**2))
         rest = math.sqrt(float((weights[cheap[:out]] ** 2).sum()))
@@ -139,7 +164,7 @@ class BlockMaxIndex:
         bound = w @ self.most[at] + rest + MARGIN
         blocks, best = len(bound), []
         often = self.place[at] >= 0
-        base = w[often] @ self.full[self.place[at[often]]]
+        held, heavy = self.place[at[often]], w[often]
         at, w = at[~often], w[~often]
         high = bound >= FIRST * bound.max()
         for part in (np.flatnonzero(high), np.flatnonzero(~high)):
@@ -150,9 +175,10 @@ class BlockMaxIndex:
             cell = (at[:, None] * blocks + part).ravel()
             first, last = self.starts[cell], self.starts[cell + 1]
             run = runs_of(first, last)
-            score = np.bincount(self.rows.take(run), np.repeat(np.repeat(w, len(part)), last - first) * self.posted.take(run), self.padded) + base
-            for b in set(range(blocks)).difference(part.tolist()):
-                score[b * BLOCK : (b + 1) * BLOCK] = 0
+            score = np.bincount(self.rows.take(run), np.repeat(np.repeat(w, len(part)), last - first) * self.posted.take(run), self.padded).astype(float, copy=False)
+            for b in part.tolist() if len(held) else ():
+                here = score[b * BLOCK : (b + 1) * BLOCK]
+                here += (heavy @ self.full[b].take(held, axis=0, out=self.taken[: len(held)], mode="clip"))[: len(here)]
             # one may be skipped; what an example has already cannot fall: k + 1 groups of rows have one of at least this
             tops = score.reshape(GROUP, -1).max(axis=0)  # neighbours in order are alike and go to different groups
             if len(tops) > k + 1:
@@ -168,7 +194,7 @@ class BlockMaxIndex:
                 hit = np.flatnonzero(np.repeat(here, BLOCK)[: len(self.ids)] & ((score[: len(self.ids)] > 0) | (rest > 0)))
             first, last = self.ends[hit], self.ends[hit + 1]
             run = runs_of(first, last)
-            exact = np.round(np.bincount(np.repeat(np.arange(len(hit)), last - first), whole[self.terms[run]] * self.weights[run], len(hit)), 12)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(hit)), last - first), self.whole[self.terms[run]] * self.weights[run], len(hit)), 12)
             best += [(-s, i, y) for s, i, y in zip(exact.tolist(), self.ids[hit].tolist(), self.labels[hit].tolist(), strict=True) if s > 0 and i != skip]
             best = sorted(best)[:k]
         return [(-s, i, y) for s, i, y in best]

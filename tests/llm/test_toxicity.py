@@ -1,10 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import pytest
 
-from gridweave.llm.toxicity import BlockMaxIndex, scored, train, varied
+from gridweave.llm.toxicity import LETTERS, BlockMaxIndex, scored, train, varied, words_of
 
 
 def test_index_equals_brute_force():
@@ -124,3 +125,22 @@ def test_whole_scores_equal_brute_force(spark):
         vote = min(max((sum(s * y for s, _, y in near) + 0.5 * model.prior) / (mass + 0.5), 1e-3), 1 - 1e-3)
         z = model.fit[0] * math.log(vote / (1 - vote)) + model.fit[1] * math.log1p(norm) + model.fit[2]
         assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_words_are_runs_of_letters():
+    every = "".join(chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000)
+    for text in [None, "", "Ab-c\u00a0d_e9f\x1fg\u2028h \u00c9t\u00e9\u0130 x\ud800y", every, "a".join(every), "z".join(every[:200])]:
+        got = words_of(text)
+        assert sorted(got.elements()) == sorted(LETTERS.findall((text or "").lower()))
+        assert words_of(text) == got
+
+
+def test_a_search_makes_no_array_of_all_terms():
+    index = BlockMaxIndex(list(range(50)), [i % 2 for i in range(50)], [{i: 0.6, 1_900_000 + i % 7: 0.8} for i in range(50)], 2_000_000)
+    first = index.nearest({3: 0.6, 1_900_003: 0.8}, 5)
+    index.nearest({4: 1.0}, 5)
+    tracemalloc.start()
+    again = index.nearest({3: 0.6, 1_900_003: 0.8}, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first == again and first[0][:2] == (1.0, 3) and peak < 1e6
