@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def trim(spark: SparkSession) -> str | None:
+    """The driver's JVM gives back what its C heap holds free, tens of MB after some queries; None where it cannot (before JDK 17.0.9, off glibc)."""
+    jvm = spark.sparkContext._jvm
+    try:
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return None
+
+
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here."""
     spark = session(df)
@@ -43,6 +56,7 @@ def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

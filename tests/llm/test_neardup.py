@@ -68,6 +68,26 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def test_few_edges_take_one_task_and_many_the_same_result(spark, monkeypatch):
+    from gridweave.llm import components as module, neardup as user
+
+    rng, writes, stored = random.Random(5), [], module.stored
+    edges = [(i, i + 1) for i in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(2**62 - i, -i) for i in range(5)] + [(None, 3)]
+    edges = [tuple(rng.sample(e, 2)) for e in edges]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    monkeypatch.setattr(module, "stored", lambda df, path, *by: writes.append(path) or stored(df, path, *by))
+    here = {(r.node, r.root) for r in components(frame).collect()}
+    assert len(writes) == 2  # the edges and the result, not two tables a round
+    monkeypatch.setattr(module, "FEW", -1)
+    assert here == {(r.node, r.root) for r in components(frame).collect()} and len(writes) > 8
+    monkeypatch.setattr(module, "FEW", 400)  # rounds until so few are left
+    assert here == {(r.node, r.root) for r in user.components(frame).collect()}
+
+
+def test_no_edges_no_components(spark):
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+
+
 def test_rechecked_finds_every_link_across_classes(spark, monkeypatch):
     import numpy as np
 
@@ -102,3 +122,12 @@ def test_large_regions_reach_over_partition_borders(spark, tmp_path):
             assert large.count() == neardup.TREES * n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_driver_gives_free_memory_back_after_each_stored_table(spark, monkeypatch, tmp_path):
+    from gridweave.llm import common
+
+    said, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: said.append(trim(s)))
+    assert common.stored(spark.range(3), str(tmp_path / "t")).count() == 3
+    assert len(said) == 1 and (said[0] is None or "rim" in said[0])
